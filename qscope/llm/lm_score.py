@@ -66,21 +66,31 @@ class Models:
         self.tables = [(t[:WORDS], t[WORDS:], float(t[:WORDS].sum())) for t in (target, background)]
         self.size = max(1, int((background[:WORDS] > 0).sum()))
 
-    def losses(self, words: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-        """Per word, -ln p under the target and the background model."""
+    def losses(self, words: np.ndarray, owner: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
+        """Per word, -ln p under the target and the background model, each without what the
+        word's own document (targets: whether it is a target) added to it."""
         w, p, at = features(words, owner)
         l2, l1, l0 = LAMBDAS
-        out = []
-        for uni, pair, total in self.tables:
-            one = uni[w] / max(total, 1.0)
-            prob = l1 * one + l0 / self.size
-            two = pair[p] / np.maximum(uni[w[at]], 1)
+        out, own_w, own_p = [], _own(owner, w, WORDS), _own(owner[at], p, PAIRS)
+        tokens = np.bincount(owner, minlength=len(targets))[owner]
+        for (uni, pair, total), counted in zip(self.tables, (targets[owner], np.ones(len(w), bool)), strict=True):
+            left = uni[w] - own_w * counted
+            one = left / np.maximum(total - tokens * counted, 1.0)
+            two = (pair[p] - own_p * counted[at]) / np.maximum(left[at], 1)
             more = l2 * one
-            more[at + 1] = l2 * np.minimum(two, 1.0)
-            out.append(-np.log(prob + more))
+            more[at + 1] = l2 * np.clip(two, 0.0, 1.0)
+            out.append(-np.log(l1 * one + l0 / self.size + more))
         return out
 
 
+def _own(owner: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
+    """For each entry, how often its document has its slot."""
+    if not len(slot):
+        return np.zeros(0, np.int64)
+    _, at, count = np.unique(owner * slots + slot, return_inverse=True, return_counts=True)
+    return count[at]
+
+
 def fit(docs: DataFrame) -> Models:
     """docs(text, target): counts over all texts; rows without a mark count for the background
     alone. Word and pair counts are summed by slot before they reach the driver, which gets
@@ -109,23 +119,26 @@ def _arrow_parts(df: DataFrame) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, score for every row."""
+    """doc_id, n_tokens, ce_target, ce_background, score for every row of docs(doc_id, text,
+    target); a document is scored by the models without its own counts, so that being a
+    target is no merit in itself."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             n = batch.num_rows
+            marks = np.array(batch.column(2).to_pylist(), bool)
             count, sums = np.zeros(n, np.int64), [np.zeros(n), np.zeros(n)]
             for a, b in slices(off):
                 words, owner = word_hashes(data, off, a, b)
                 count[a:b] = np.bincount(owner - a, minlength=b - a)
-                for s, loss in zip(sums, shared.value.losses(words, owner), strict=True):
+                for s, loss in zip(sums, shared.value.losses(words, owner - a, marks[a:b]), strict=True):
                     s[a:b] = np.bincount(owner - a, loss, minlength=b - a)
             t, g = (s / np.maximum(count, 1) for s in sums)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(t), pa.array(g), pa.array(g - t)], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("target", F.lit(False))).mapInArrow(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,4 +153,5 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
     d = docs.select("doc_id", "text")
     good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good.hint("shuffle_hash")
-    return score(docs, fit(d.join(good, "doc_id", "left")))
+    marked = d.join(good, "doc_id", "left")
+    return score(marked, fit(marked))
