@@ -1,4 +1,4 @@
-"""Whole-text tokenisation with a bounded cache of white-space-delimited pieces."""
+"""Whole-text tokenisation with bounded caches of pieces and words."""
 
 from __future__ import annotations
 
@@ -6,65 +6,86 @@ import os
 import re
 
 import numpy as np
+import regex
 
-#: Pieces that a worker remembers; the cache is emptied when it is full.
-CACHE_PIECES = 200_000
-#: Pieces longer than this are encoded but not remembered.
-CACHE_CHARS = 64
+#: White-space-delimited pieces, and pre-tokenized words, that a worker remembers; a cache is
+#: emptied when it is full.
+CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+#: Longer pieces and words are encoded but not remembered.
+CACHE_CHARS = 40
+
+#: The pre-tokenizers' patterns of the two kinds of vocabulary.
+SPACE_KEPT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE_DROPPED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself
+    where it prints, else the next unused from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
     """Ids of whole texts by a tokenizers file, the same as encode(text,
     add_special_tokens=False).
 
-    Both kinds of vocabulary here never merge across a single space between two other
-    characters that aren't white space: the pre-tokenizer starts a new match there. So a
-    text is cut at those spaces, and each distinct piece is encoded once. drop_space: the
-    vocabulary drops white space; otherwise a piece after the first keeps its leading
-    space. The vocabulary's special strings are ordinary text."""
+    Neither kind of vocabulary merges across a single space between two other characters
+    that aren't white space: the pre-tokenizer starts a new match there. So a text is cut at
+    those spaces, each distinct piece is split into words by the pre-tokenizer's pattern, and
+    each distinct word encoded by the library's model. drop_space: the vocabulary drops
+    white space and case; otherwise a piece after the first keeps its leading space. The
+    vocabulary's special strings are ordinary text."""
 
     def __init__(self, path: str, drop_space: bool, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.drop_space, self.end = drop_space, np.array([end], "<u4").tobytes()
+        self.letters = byte_letters()
+        self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|^\s|\s$")
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces whose ids, one after another, are the text's."""
+        self.find = regex.compile(SPACE_DROPPED if drop_space else SPACE_KEPT).findall
+        self.odd = re.compile(r"\s\s|^\s|\s$").search
+        self.ids = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
+
+    def _word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        out = b"".join([self.ids[t.id] for t in self.model.tokenize(mapped)])
+        if len(word) <= CACHE_CHARS:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = out
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, from its words."""
         if self.drop_space:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        if not self.odd.search(text):
-            first, *rest = text.split(" ")
-            return [first, *(" " + p for p in rest)]
-        # A space is a cut only between two characters that aren't white space.
-        parts = re.split(r"(?<=\S) (?=\S)", text)
-        return [parts[0], *(" " + p for p in parts[1:])]
+            piece = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
+        known = self.words
+        return b"".join([known.get(w) or self._word(w) for w in self.find(piece)])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, with the end id."""
-        pieces = self.pieces(text)
-        if not pieces:
-            return self.end
-        cache = self.cache
-        missing = list(set(pieces).difference(cache))
+        if self.drop_space:
+            pieces, head, lead = text.replace("\n", " ").split(" "), b"", ""
+        else:
+            first, *pieces = re.split(r"(?<=\S) (?=\S)", text) if self.odd(text) else text.split(" ")
+            head, lead = self._piece(first), " "
+        cache, extra = self.cache, {}
+        missing = set(pieces).difference(cache)
         if missing:
             if len(cache) + len(missing) > CACHE_PIECES:
                 cache.clear()
-                missing = list(set(pieces))
-            got = dict(zip(missing, self._encode(missing), strict=True))
-            long = {k: v for k, v in got.items() if len(k) > CACHE_CHARS}
-            cache.update((k, v) for k, v in got.items() if k not in long)
-            if long or len(cache) > CACHE_PIECES:
-                both = {**{p: cache[p] for p in set(pieces) if p in cache}, **long}
-                return b"".join(map(both.__getitem__, pieces)) + self.end
-        return b"".join(map(cache.__getitem__, pieces)) + self.end
+                missing = set(pieces)
+            for p in missing:
+                (cache if len(p) <= CACHE_CHARS and len(cache) < CACHE_PIECES else extra)[p] = self._piece(lead + p)
+            if extra:
+                return head + b"".join([extra[p] if p in extra else cache[p] for p in pieces]) + self.end
+        return head + b"".join(map(cache.__getitem__, pieces)) + self.end
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
