@@ -13,6 +13,7 @@ are removed. Equal runs are one run in the array: its later copies repeat as a w
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,11 +78,11 @@ def runs(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, k, at): a run's start and windows share a long, so that rows stay small."""
+    """(key, k, at): a run's start, mark and windows share a long, so that rows stay small."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for key, doc, start, count, _ in runs(*text_bytes(batch.column(1))):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc]), pa.array(start << 24 | np.minimum(count, (1 << 24) - 1))], names=["key", "k", "at"])
+        for key, doc, start, count, twice in runs(*text_bytes(batch.column(1))):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc]), pa.array(start << 24 | twice.astype(np.int64) << 23 | count)], names=["key", "k", "at"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, key[twice]]))], names=["key"])
 
 
-PIECES = "key long, k long, start long, piece binary"
+PIECES = "key long, k long, start long, twice boolean, piece binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +106,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at = key[bounds[0] : bounds[-1]], at[bounds[0] : bounds[-1]]
         start = at >> 24
         begin = off[owner] + start
-        end = begin + (at & ((1 << 24) - 1)) + SPAN - 1
+        end = begin + (at & ((1 << 23) - 1)) + SPAN - 1
+        twice = (at >> 23 & 1).astype(bool)
         whole = memoryview(data)
         for a in range(0, len(key), 1 << 14):
             b = a + (1 << 14)
             held = [whole[i:j] for i, j in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(ids[owner[a:b]]), pa.array(start[a:b]), pa.array([bytes(h) for h in held], pa.binary())], names=["key", "k", "start", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(ids[owner[a:b]]), pa.array(start[a:b]), pa.array(twice[a:b]), pa.array([bytes(h) for h in held], pa.binary())], names=["key", "k", "start", "twice", "piece"])
 
 
 def repeated(pieces: list[bytes]) -> list[np.ndarray]:
@@ -143,18 +145,23 @@ def _cuts(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k", "s", "e"])
 
 
-def _shard(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """Removed byte ranges of runs (k, start, bytes)."""
-    rows.sort(key=lambda r: (r[0], r[1]))
-    firsts: dict[bytes, int] = {}
-    out, held = [], []
-    for k, start, piece in rows:
+def _shard(rows: list[tuple[int, int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
+    """Removed byte ranges of runs (k, start, key, twice, bytes)."""
+    rows.sort(key=lambda r: r[:2])
+    firsts: dict[bytes, tuple[int, int, int, bool]] = {}
+    out: list[tuple[int, int, int]] = []
+    distinct: Counter[int] = Counter()
+    for k, start, key, twice, piece in rows:
         if piece in firsts:
             out.append((k, start, start + len(piece)))
         else:
-            firsts[piece] = len(held)
-            held.append((k, start))
-    for (k, start), later in zip(held, repeated(list(firsts)), strict=True):
+            firsts[piece] = (k, start, key, twice)
+            distinct[key] += 1
+    # As in the corpus: alone under its hash, and with its gram once, a run repeats nothing.
+    held = {p: v for p, v in firsts.items() if v[3] or distinct[v[2]] > 1}
+    if not held:
+        return out
+    for (k, start, _, _), later in zip(held.values(), repeated(list(held)), strict=True):
         if later.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], later.view(np.int8), [0]])))
             out.extend((k, start + int(a), start + int(b) - 1 + SPAN) for a, b in zip(edge[::2], edge[1::2], strict=True))
@@ -163,14 +170,14 @@ def _shard(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by hash to removed ranges, an array for every SHARD_BYTES or more."""
-    rows: list[tuple[int, int, bytes]] = []
+    rows: list[tuple[int, int, int, bool, bytes]] = []
     size, last = 0, None
     for batch in batches:
-        for key, k, start, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for key, k, start, twice, piece in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if size >= SHARD_BYTES and key != last:
                 yield _cuts(_shard(rows))
                 rows, size = [], 0
-            rows.append((k, start, piece))
+            rows.append((k, start, key, twice, piece))
             size += len(piece)
             last = key
     if rows:
@@ -180,7 +187,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hot runs (key, k, start, piece) to hashes of their windows."""
     for batch in batches:
-        for k, start, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for k, start, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
             x = np.frombuffer(piece, np.uint8)
             for s in range(0, len(x) - SPAN + 1, SLICE_BYTES):
                 y = x[s : s + SLICE_BYTES + SPAN - 1]
