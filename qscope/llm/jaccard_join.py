@@ -40,7 +40,7 @@ SINGLE = 63
 SALTS = stream(21, 64)
 BATCH = 256
 #: Sets in a block, and features that are compared at once.
-BLOCK, COLUMNS = 256, 8192
+BLOCK, COLUMNS = 1024, 4096
 
 
 def bands(n: int) -> list[int]:
