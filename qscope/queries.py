@@ -43,7 +43,7 @@ def same(name: str, sql: str, oracle: str | None = None) -> None:
 
 # ---------------------------------------------------------------- the relational surface
 
-same("scan_filter_project", "SELECT l_orderkey, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
+same("scan_filter_project", "SELECT l_orderkey, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 for kind in ("INNER", "LEFT", "RIGHT", "FULL"):
     same(f"join_{kind.lower()}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c {kind} JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c.c_custkey = o.o_custkey")
 same("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) o ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
