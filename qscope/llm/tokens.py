@@ -13,6 +13,7 @@ import regex
 CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
 #: Longer pieces and words are encoded but not remembered.
 CACHE_CHARS = 40
+MARKS = ",.;:!?&$%*#"
 
 #: The pre-tokenizers' patterns of the two kinds of vocabulary.
 SPACE_KEPT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,46 +44,69 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.drop_space, self.end = drop_space, np.array([end], "<u4").tobytes()
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
         self.find = regex.compile(SPACE_DROPPED if drop_space else SPACE_KEPT).findall
-        self.odd = re.compile(r"\s\s|^\s|\s$").search
+        self.other_space = re.compile(r"[^\S \n]").search
+        self.apart = re.compile(r"(?<=\S) (?=\S)").split
         self.ids = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        out = b"".join([self.ids[t.id] for t in self.model.tokenize(mapped)])
+        if word.isascii() and word.isprintable():  # such bytes but the space stand for themselves
+            mapped = word.replace(" ", self.letters[32])
+        else:
+            mapped = "".join(map(self.letters.__getitem__, word.encode()))
+        found = self.model.tokenize(mapped)
+        out = self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
         if len(word) <= CACHE_CHARS:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
             self.words[word] = out
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece, from its words."""
+    def _piece(self, piece: str, lead: str) -> bytes:
+        """Ids of a piece after `lead`, from its words. Of most pieces the pattern's matches
+        are plain: Latin letters, perhaps with marks after them."""
         if self.drop_space:
             piece = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
         known = self.words
-        return b"".join([known.get(w) or self._word(w) for w in self.find(piece)])
+        top = max(piece, default="")
+        if top < "\u0250":
+            word = piece.rstrip(MARKS)
+            if word.isalpha():
+                mark, word = piece[len(word) :], lead + word
+                ids = known.get(word) or self._word(word)
+                return ids + (known.get(mark) or self._word(mark)) if mark else ids
+        elif top > "\uffff":  # the pattern's libraries differ on unassigned characters
+            return np.array(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([known.get(w) or self._word(w) for w in self.find(lead + piece)])
+
+    def _cut(self, text: str) -> list[str]:
+        """The text cut at single spaces between characters that aren't white space."""
+        if text[:1] == " " or text[-1:] == " " or any(x in text for x in ("  ", " \n", "\n ")) or self.other_space(text):
+            return self.apart(text)
+        return text.split(" ")
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, with the end id."""
         if self.drop_space:
             pieces, head, lead = text.replace("\n", " ").split(" "), b"", ""
         else:
-            first, *pieces = re.split(r"(?<=\S) (?=\S)", text) if self.odd(text) else text.split(" ")
-            head, lead = self._piece(first), " "
+            first, *pieces = self._cut(text)
+            head, lead = self._piece(first, ""), " "
         cache, extra = self.cache, {}
         missing = set(pieces).difference(cache)
         if missing:
             if len(cache) + len(missing) > CACHE_PIECES:
                 cache.clear()
                 missing = set(pieces)
+            kept = cache if len(missing) <= CACHE_PIECES else extra
             for p in missing:
-                (cache if len(p) <= CACHE_CHARS and len(cache) < CACHE_PIECES else extra)[p] = self._piece(lead + p)
+                (kept if len(p) <= CACHE_CHARS else extra)[p] = self._piece(p, lead)
             if extra:
                 return head + b"".join([extra[p] if p in extra else cache[p] for p in pieces]) + self.end
         return head + b"".join(map(cache.__getitem__, pieces)) + self.end
