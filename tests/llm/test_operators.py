@@ -264,6 +264,29 @@ def test_lm_score(spark, docs):
     assert rows[4].score > rows[40].score  # a copy of the target against unrelated text
 
 
+def test_lm_score_counts_every_word_and_bigram_apart(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(6000)}" if r.random() < 0.7 else r.choice(["the", "of", "and"]) for _ in range(150)) for _ in range(60)]
+    texts += [texts[0], None, "", "alone"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    good = {i for i in range(len(rows)) if i % 4 == 0}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    words = {i: (t or "").encode().split() for i, t in rows}
+    size = len({w for ws in words.values() for w in ws})
+    l2, l1, l0 = lm_score.LAMBDAS
+    for i, ws in words.items():
+        for name, ids in (("ce_target", good), ("ce_background", set(words))):
+            others = [words[j] for j in ids if j != i]
+            uni, pair = Counter(w for o in others for w in o), Counter(p for o in others for p in zip(o, o[1:], strict=False))
+            loss = 0.0
+            for j, w in enumerate(ws):
+                one = uni[w] / max(uni.total(), 1)
+                two = min(1.0, pair[ws[j - 1], w] / max(uni[ws[j - 1]], 1)) if j else one
+                loss -= np.log(l2 * two + l1 * one + l0 / size)
+            assert abs(getattr(got[i], name) - loss / max(len(ws), 1)) < 1e-9
+
+
 EVERY = [
     lambda s, d: lm_score.cross_entropy_difference(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),
     lambda s, d: jaccard_join.join(d),
