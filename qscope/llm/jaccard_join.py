@@ -179,12 +179,11 @@ def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return made
 
 
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """The linked pairs between two blocks of sets, or within one, that are in different
-    components: shared features are counted by products of 0/1 matrices, some columns at a
+def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, which are linked) between two blocks of sets, or within one, sorted by
+    block and k: shared features are counted by products of 0/1 matrices, some columns at a
     time."""
-    rows = rows.sort_values(["block", "k"])
-    block, k, comp = (rows[c].to_numpy() for c in ("block", "k", "comp"))
+    block = rows["block"].to_numpy()
     sets = [np.frombuffer(s, "<u8") for s in rows["s"]]
     size = np.array([len(s) for s in sets])
     features, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -203,7 +202,16 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         m[owner[i:j], at[i:j] - c] = 1
         both += m[left] @ m[right].T
     either = size[left][:, None] + size[right][None] - both
-    ok = (100 * both >= PERCENT * either) & (comp[left][:, None] != comp[right][None])
+    return left, right, 100 * both >= PERCENT * either
+
+
+def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """The linked pairs between two blocks of sets, or within one, that are in different
+    components."""
+    rows = rows.sort_values(["block", "k"])
+    block, k, comp = (rows[c].to_numpy() for c in ("block", "k", "comp"))
+    left, right, ok = _matrix(rows)
+    ok &= comp[left][:, None] != comp[right][None]
     if block[0] == block[-1]:
         ok &= k[left][:, None] < k[right][None]
     x, y = np.nonzero(ok)
@@ -211,10 +219,22 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
-def compare_blocks(open_: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _degrees(rows: pd.DataFrame) -> pd.DataFrame:
+    """(k, n): with how many documents a set links, between two blocks or within one; comp
+    is the number of documents with the set."""
+    rows = rows.sort_values(["block", "k"])
+    block, k, weight = (rows[c].to_numpy() for c in ("block", "k", "comp"))
+    left, right, ok = _matrix(rows)
+    if block[0] == block[-1]:
+        np.fill_diagonal(ok, False)
+        return pd.DataFrame({"k": k[left], "n": ok @ weight[right]})
+    return pd.DataFrame({"k": np.concatenate([k[left], k[right]]), "n": np.concatenate([ok @ weight[right], ok.T @ weight[left]])})
+
+
+def compare_blocks(open_: DataFrame, docs: DataFrame, scratch: Scratch, compare=_compare, schema: str = "a long, b long") -> DataFrame:
     """Links (a, b) between different components among open_(sig, k, comp): all sets that
     share a bucket are compared, in blocks of BLOCK sets, of which those meet that share a
-    bucket. Neighbours in a bucket are numbered together, so few blocks do."""
+    bucket, each two once. Neighbours in a bucket are numbered together, so few blocks do."""
     hub = open_.groupBy("sig").agg(F.min("k").alias("hub"))
     mine = open_.join(hub, "sig").groupBy("k").agg(F.min("hub").alias("hub"), F.min("comp").alias("comp"))
     numbered = number_rows(mine, ["hub", "k"], scratch)
@@ -225,25 +245,27 @@ def compare_blocks(open_: DataFrame, docs: DataFrame, scratch: Scratch) -> DataF
     sets = only(docs.select("k", "text"), placed.select("k"), "k", "left_semi").mapInArrow(_content, "k long, s binary")
     sets = scratch.table(sets.join(placed, "k"), "none")
     dealt = sets.join(meet.withColumn("block", F.col("i")), "block").unionByName(sets.join(meet.where("i < j").withColumn("block", F.col("j")), "block"))
-    out = scratch.table(dealt.groupBy("i", "j").applyInPandas(_compare, "a long, b long"))
+    out = scratch.table(dealt.groupBy("i", "j").applyInPandas(compare, schema))
     scratch.drop(sets, meet)
     return out
 
 
-def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(k, doc_id, n_shingles, component, component_id, n_links) for every row of docs.
+def join(docs: DataFrame, scratch: Scratch | None = None, links_too: bool = True) -> DataFrame:
+    """(k, doc_id, n_shingles, component, component_id, n_links) for every row of docs; no
+    n_links without links_too.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a document's set is its distinct 5-word
     shingles, with fewer words the whole sequence as one; null and wordless texts have empty
     sets and link with nothing. Two documents link when 100 * both >= 80 * either. component
-    is the least k reachable by links, n_links the verified links of the document's class in
-    the forest that proved the components. Rows that repeat a doc_id, or have none, are
+    is the least k reachable by links, n_links the number of other documents that the
+    document links with, those of an equal set included. Rows that repeat a doc_id, or have none, are
     documents of their own; equal sets are one class. An empty table gives no rows; extra
     columns are ignored.
 
     Equal sets meet first and go on as one. A bucket's sets are then compared with its least
     one; what this leaves in different components is compared in blocks, so no linked pair
-    is left out, and no join emits the pairs of a group."""
+    is left out, and no join emits the pairs of a group. For n_links all sets that share a
+    bucket are compared in blocks, which give numbers only."""
     scratch = scratch or Scratch(docs.sparkSession)
     d = keyed(docs, scratch)
     sets = scratch.table(d.select("k", "text").mapInArrow(_sets, "k long, n long, h1 long, h2 long"))
@@ -263,25 +285,31 @@ def join(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
     open_ = scratch.table(placed.join(mixed, "sig", "left_semi"))
     if open_.limit(1).count():
-        more = compare_blocks(open_, reps, scratch)
-        if more.limit(1).count():
-            links = scratch.table(links.unionAll(more))
+        found_more = compare_blocks(open_, reps, scratch)
+        if found_more.limit(1).count():
+            links = scratch.table(links.unionAll(found_more))
             labels = components(links, scratch)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     names = d.select("k", "doc_id")
-    out = of.join(labels.select(F.col("k").alias("rep"), "comp"), "rep", "left").join(degree, "rep", "left")
-    out = out.select("k", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = of.join(labels.select(F.col("k").alias("rep"), "comp"), "rep", "left")
+    more = []
+    if links_too:
+        size = classes.select(F.col("rep").alias("k"), F.col("c").alias("comp"))
+        degree = compare_blocks(found.join(size, "k").select("sig", "k", "comp"), reps, scratch, _degrees, "k long, n long").groupBy(F.col("k").alias("rep")).agg(F.sum("n").alias("others"))
+        out = out.join(copies.select("rep", "c"), "rep", "left").join(degree, "rep", "left")
+        out = out.withColumn("n_links", F.coalesce("others", F.lit(0)) + F.coalesce("c", F.lit(1)) - 1)
+        more = ["n_links"]
+    out = out.select("k", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component"), *more)
     if not d._renumbered:
-        return out.select("k", F.col("k").alias("doc_id"), "n_shingles", "component", F.col("component").alias("component_id"), "n_links")
+        return out.select("k", F.col("k").alias("doc_id"), "n_shingles", "component", F.col("component").alias("component_id"), *more)
     out = out.join(names, "k").join(names.select(F.col("k").alias("component"), F.col("doc_id").alias("component_id")), "component")
-    return out.select("k", "doc_id", "n_shingles", "component", "component_id", "n_links")
+    return out.select("k", "doc_id", "n_shingles", "component", "component_id", *more)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that link, directly or not, to one with a smaller doc_id;
     one row of each group stays, and all rows with no shingles."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.table(join(docs, scratch).select("k", "doc_id", "component"))
+    found = scratch.table(join(docs, scratch, links_too=False).select("k", "doc_id", "component"))
     gone = found.where("k != component")
     again = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     if not again:

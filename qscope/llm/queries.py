@@ -27,7 +27,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.join(read(spark, sf_dir, "documents"), links_too=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +69,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1,
     "op2_ngram_jaccard_join": op2,
+    "op2_ngram_jaccard_links": op2_links,
     "op3_suffix_array_dedup": op3,
     "op4_minhash_fingerprint": op4,
     "op5_mix_sources": op5,

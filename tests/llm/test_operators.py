@@ -99,6 +99,22 @@ def test_jaccard_join(docs):
     assert got == components(ROWS)
 
 
+def test_jaccard_join_counts_every_link(docs):
+    sets = {r[0]: shingles(r[1]) for r in ROWS}
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(docs).collect()}
+    assert got == {i: sum(j != i and linked(sets[i], sets[j]) for j in sets) for i in sets}
+    assert max(got.values()) > 2
+
+
+def test_jaccard_join_counts_links_between_blocks():
+    import pandas as pd
+
+    sets = [np.sort(np.arange(100, dtype="<u8") + s) for s in (0, 5, 50)]
+    rows = pd.DataFrame({"block": [0, 1, 1], "k": [1, 2, 3], "comp": [4, 2, 1], "s": [s.tobytes() for s in sets]})
+    assert jaccard_join._degrees(rows).values.tolist() == [[1, 2], [2, 4], [3, 0]]
+
+
 def test_jaccard_join_blocks_find_what_stars_miss():
     import pandas as pd
 
