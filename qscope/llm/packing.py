@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from qscope.llm.common import Scratch, keyed
 from qscope.llm.tokens import encoder
 
+#: Weights of the residual tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.5, 0.5)
 PIECES = "k long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def plan(counts: np.ndarray, capacity: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> list[tuple[int, list[int]]]:
+def plan(counts: np.ndarray, capacity: int, max_docs: int, max_cost: int, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> list[tuple[int, list[int]]]:
     """[(bins, lengths of a bin's pieces)] for counts[l] pieces of length l.
 
     Items with one length are alike, and so are bins with the same contents, so both are
@@ -82,14 +84,15 @@ def cut(path: str, end: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and the end id (null and empty text: the end id alone); longer
     ones are cut into pieces of `capacity`, the first of which may be shorter. The driver
     packs a histogram of the pieces' lengths, at most `capacity` numbers, and the pieces of
     a length are dealt to the plan's bins by their number within that length. max_docs and
-    max_cost (the sum of squared lengths) default to what the capacity implies. Pieces of a
+    max_cost (the sum of squared lengths) default to what the capacity implies, as lower ones
+    can add sequences; what is left of them still weighs in the choice of a bin. Pieces of a
     length are numbered within partitions and by the partitions' counts, so no window or
     task holds all of them. Repeated rows are documents of their own; an empty table gives
     no rows; extra columns are ignored."""

@@ -272,6 +272,12 @@ def test_plan_keeps_every_constraint():
             assert n and sum(inside) <= 100 and len(inside) <= 3 and sum(x * x for x in inside) <= 9000
 
 
+def test_plan_weighs_every_dimension():
+    counts = np.bincount(np.random.default_rng(1).integers(1, 60, 400), minlength=101)
+    own, tokens = packing.plan(counts, 100, 100, 10000), packing.plan(counts, 100, 100, 10000, weights=(1.0, 0.0, 0.0))
+    assert own != tokens and sum(n for n, _ in own) <= sum(n for n, _ in tokens)
+
+
 def test_lm_score(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (7, 0, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, labels).collect()}
