@@ -91,6 +91,15 @@ def test_generated_cases_verify(spark, sales):
     assert {pathtests.verify(spark, q, seeds, c) for c in cases} == {"verified"}
 
 
+def test_pools_hold_values_of_all_rows(spark):
+    df = spark.createDataFrame([(1,)] * 2000 + [(5000,), (None,)], "v int").coalesce(1)
+    df.createOrReplaceTempView("late")
+    cases = pathtests.generate_tests(spark, "SELECT v FROM late WHERE v > 2500", {"late": df})
+    taken = next(c for c in cases if c.mask == (True,))
+    assert {r["v"] for r in taken.rows["late"]} == {5000}
+    assert pathtests.pools(df) == {"v": [1, 5000]}
+
+
 def test_fuzz_is_seeded(spark, sales):
     q = "SELECT k, CASE WHEN v > 3 THEN 1 ELSE 0 END AS b FROM sales"
     a, b = (pathtests.fuzz(spark, q, {"sales": sales}, iterations=3, seed=5) for _ in range(2))
