@@ -122,7 +122,7 @@ def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def only(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def only(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """Semi or anti join against a narrow id table: broadcast if the counted size allows,
     otherwise a shuffled hash join (no sort of the wide side)."""
     if ids.count() <= BROADCAST_ROWS:
@@ -272,14 +272,26 @@ def shingles(words: np.ndarray, owner: np.ndarray, n: int = 5) -> tuple[np.ndarr
     return out, doc
 
 
-def shingle_sets(col: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every row of a string column."""
+def shingle_slices(col: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sizes, features) of the sets of some rows at a time: the sorted distinct
+    shingle hashes of one row follow those of the row before."""
     data, off = text_bytes(col)
     for a, b in slices(off):
         h, doc = shingles(*word_hashes(data, off, a, b), n)
-        bounds = np.searchsorted(doc, np.arange(a, b + 1))
-        for i in range(a, b):
-            yield i, np.unique(h[bounds[i - a] : bounds[i - a + 1]])
+        bounds = np.searchsorted(doc, np.arange(a, b + 1)).tolist()
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            h[s:e].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        yield a, np.bincount(doc[new] - a, minlength=b - a), h[new]
+
+
+def shingle_sets(col: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of every row of a string column."""
+    for a, counts, h in shingle_slices(col, n):
+        ends = np.cumsum(counts).tolist()
+        for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            yield a + i, h[s:e]
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

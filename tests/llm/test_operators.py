@@ -115,6 +115,60 @@ def test_jaccard_join_counts_links_between_blocks():
     assert jaccard_join._degrees(rows).values.tolist() == [[1, 2], [2, 4], [3, 0]]
 
 
+def chosen_signatures(features, frequency):
+    """A set's candidates when each signature has the given frequency."""
+    signed = jaccard_join.sign(np.zeros(1, np.int64), np.array([len(features)]), features)
+    out = set()
+    for sig, (_, _, need, total) in zip(signed.signatures, np.concatenate(signed.totals).tolist(), strict=True):
+        assert len(sig) == len(set(sig.tolist())) == total
+        out.update(sorted(sig.tolist(), key=lambda x: (frequency(x), x))[:need])
+    return out
+
+
+def test_jaccard_join_every_linked_pair_shares_a_signature():
+    rng = np.random.default_rng(5)
+    for trial in range(600):
+        n = int(rng.integers(1, 40)) if trial % 2 else int(rng.integers(1, 900))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = a[rng.permutation(n)[: n - int(rng.integers(0, n // 5 + 1))]]
+        while True:  # as many features of its own as the similarity allows
+            more = np.append(b, rng.integers(0, 1 << 63, 1, dtype=np.uint64))
+            both = len(np.intersect1d(a, more))
+            if 100 * both < 80 * (n + len(more) - both):
+                break
+            b = more
+        order = (lambda x: 2) if trial % 3 else (lambda x: x % 7)
+        x, y = (chosen_signatures(np.unique(s), order) for s in (a, b))
+        if 100 * len(b) >= 80 * n:
+            assert x & y, (n, len(b))
+
+
+def test_jaccard_join_signs_sets_together_as_alone():
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 3, 8, 24, 25, 80, 700)]
+    signed = jaccard_join.sign(np.arange(7), np.array([len(s) for s in sets]), np.concatenate(sets))
+    k, sig = np.concatenate(signed.sets), np.concatenate(signed.signatures)
+    for i, s in enumerate(sets):
+        alone = jaccard_join.enumerate_signatures(s)
+        assert sorted(sig[k == i].tolist()) == sorted(x for a in alone for x in a.tolist())
+    assert jaccard_join._unpacked(jaccard_join._packed(k), len(k)).tolist() == k.tolist()
+
+
+def test_jaccard_join_matrix_counts_by_patterns():
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common[: int(rng.integers(0, 61))], rng.choice(common, 20), rng.integers(0, 1 << 63, int(rng.integers(1, 9)), dtype=np.uint64)])) for _ in range(60)]
+    for cut in (60, 25):
+        rows = pd.DataFrame({"block": [0] * cut + [64] * (60 - cut), "k": range(60), "comp": range(60), "s": [s.astype("<u8").tobytes() for s in sets]})
+        left, right, linked = jaccard_join._matrix(rows)
+        for i in left:
+            for j in right:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert linked[i - left[0], j - right[0]] == (100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both))
+
+
 def test_jaccard_join_blocks_find_what_stars_miss():
     import pandas as pd
 
