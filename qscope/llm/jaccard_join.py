@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import BROADCAST_ROWS, Scratch, as_long, keyed, mix, number_rows, only, shingle_sets, shingle_slices, stream
+from qscope.llm.common import BROADCAST_ROWS, Scratch, as_long, copies_of, keyed, mix, number_rows, only, packed, shingle_sets, shingle_slices, stream, unpacked
 from qscope.llm.components import components
 
 WORDS = 5
@@ -53,9 +53,10 @@ SINGLE = 63
 SALTS = stream(21, 64)
 #: Signatures sent at once, and in a range.
 SENT, RANGE = 1 << 20, 1 << 18
-#: Documents in which frequent signatures are looked for (at most twice as many), and how many
-#: of them make one frequent. So the driver holds a sixteenth of their signatures at most.
-LOOKED_AT, FREQUENT = 8192, 16
+#: Documents in which frequent signatures are looked for: LOOKED_AT to twice as many, or one
+#: in LEAST_SHARE where that is more; and how many of all documents make one frequent. So the
+#: driver holds at most one of 512 of the sample's signatures.
+LOOKED_AT, LEAST_SHARE, HOT_SETS = 8192, 2048, 1 << 20
 LAST = 1 << 60
 #: Sets in a block, and their features; patterns that are compared at once, and the most
 #: owners of a pattern whose pairs are listed.
@@ -177,12 +178,12 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(times)], names=["sig", "c"])
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+def frequent(docs: DataFrame, n: int, hot_sets: int = HOT_SETS) -> tuple[np.ndarray, int]:
     """(sorted signatures that are frequent, about how many signatures docs(k, text) has)."""
-    every = max(1, n // LOOKED_AT)
+    every = max(1, min(LEAST_SHARE, n // LOOKED_AT))
     seen = docs.where(F.expr(f"pmod(xxhash64(k), {every}) = 0")).select("text").mapInArrow(_look, "sig long, c long")
     summed = seen.groupBy("sig").agg(F.sum("c").alias("c"))
-    found = summed.agg(F.sum("c"), F.collect_list(F.when(F.col("c") >= FREQUENT, F.col("sig")))).first()
+    found = summed.agg(F.sum("c"), F.collect_list(F.when(F.col("c") >= max(2, hot_sets // every), F.col("sig")))).first()
     return np.sort(np.array(found[1], np.int64).view(np.uint64)), (found[0] or 0) * every
 
 
@@ -223,7 +224,7 @@ def _send(shared, ranges: int):
             edges = np.searchsorted(r[order], np.arange(ranges + 1))
             for i in np.flatnonzero(np.diff(edges)).tolist():
                 x, y = edges[i], edges[i + 1]
-                out.append((i, COLD, sig[x:y].tobytes(), _packed(k[x:y])))
+                out.append((i, COLD, sig[x:y].tobytes(), packed(k[x:y])))
             return out
 
         for batch in batches:
@@ -241,18 +242,6 @@ def _send(shared, ranges: int):
     return run
 
 
-def _packed(k: np.ndarray) -> bytes:
-    """The first number, and the steps to the next ones in as few bytes as they need."""
-    step = np.diff(k, prepend=k[:1])
-    top = int(np.abs(step).max(initial=0))
-    return k[:1].tobytes() + step.astype("<i1" if top < 1 << 7 else "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8").tobytes()
-
-
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    step = np.frombuffer(raw[8:], f"<i{(len(raw) - 8) // n}").astype(np.int64)
-    return np.cumsum(step) + np.frombuffer(raw[:8], "<i8")[0]
-
-
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["r", "kind", "a", "b"])
@@ -284,7 +273,7 @@ def _count(table: pa.Table) -> pa.Table:
             out.append(_rows(rows[:, 0], np.full(len(rows), -1, np.int32), None, None, rows[:, 1], None))
             continue
         sig = np.frombuffer(b"".join(a), np.uint64)
-        k = np.frombuffer(b"".join(b), np.int64) if kind == HOT else np.concatenate([_unpacked(y, len(x) // 8) for x, y in zip(a, b, strict=True)])
+        k = np.frombuffer(b"".join(b), np.int64) if kind == HOT else np.concatenate([unpacked(y, len(x) // 8) for x, y in zip(a, b, strict=True)])
         f = np.full(len(sig), LAST)
         if kind == COLD:
             order = np.argsort(sig)
@@ -297,10 +286,10 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _rows(*[np.zeros(0, np.int64)] * 6)
 
 
-def candidates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, scratch: Scratch, hot_sets: int = HOT_SETS) -> tuple[DataFrame, DataFrame]:
     """((sig, k): for each set of docs(k, text), distinct texts, its candidate signatures that
     another set shares; (k, n): every set's size)."""
-    hot, total = frequent(docs, docs.count())
+    hot, total = frequent(docs, docs.count(), hot_sets)
     ranges = max(1, -(-total // RANGE))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     sent = docs.select("k", "text").mapInArrow(_send(shared, ranges), SENT_COLUMNS)
@@ -474,23 +463,6 @@ def compare_blocks(open_: DataFrame, docs: DataFrame, scratch: Scratch, compare=
 # ---------------------------------------------------------------- the join
 
 
-def copies_of(d: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """((k, rep): the least k with the same text; (rep, c): texts of several documents and how
-    many they are)."""
-    texts = scratch.table(d.select("k", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")))
-    classes = scratch.table(texts.groupBy("h").agg(F.min("k").alias("rep"), F.count("*").alias("c")).where("c > 1"))
-    n, total = classes.count(), texts.count()
-    if n <= BROADCAST_ROWS:
-        of = texts.join(F.broadcast(classes.drop("c")), "h", "left")
-    else:
-        # Classes of over a 4096th of all rows, 4096 at most, are broadcast; the rest is dealt
-        # by text, in shares of bounded size.
-        large = classes.where(F.col("c") * 4096 > total).select("h", F.col("rep").alias("_large"))
-        of = texts.join(F.broadcast(large), "h", "left").withColumn("h", F.when(F.col("_large").isNull(), F.col("h")).otherwise(F.col("k").cast("string")))
-        of = of.join(classes.drop("c").hint("shuffle_hash"), "h", "left").withColumn("rep", F.coalesce("_large", "rep"))
-    return scratch.table(of.select("k", F.coalesce("rep", "k").alias("rep"))), classes.select("rep", "c")
-
-
 def beside(df: DataFrame, side: DataFrame, key: str, many: str) -> DataFrame:
     """df joined with side(key, many, ...), which is broadcast if its counted size allows;
     otherwise its keys that many rows of df have are spread over HUB_PAIRS rows or so each."""
@@ -503,7 +475,7 @@ def beside(df: DataFrame, side: DataFrame, key: str, many: str) -> DataFrame:
     return df.join(hot, key, "left").withColumn("_g", F.expr("coalesce(pmod(xxhash64(k), _n), 0)")).drop("_n").join(spread, [key, "_g"]).drop("_g")
 
 
-def join(docs: DataFrame, scratch: Scratch | None = None, links_too: bool = True) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch | None = None, links_too: bool = True, hot_sets: int = HOT_SETS) -> DataFrame:
     """(k, doc_id, n_shingles, component, component_id, n_links) for every row of docs; no
     n_links without links_too.
 
@@ -519,12 +491,13 @@ def join(docs: DataFrame, scratch: Scratch | None = None, links_too: bool = True
     Equal texts meet first and go on as one. A bucket's sets are then compared with its least
     one; what this leaves in different components is compared in blocks, so no linked pair
     is left out, and no join emits the pairs of a group. For n_links all sets that share a
-    bucket are compared in blocks, which give numbers only."""
+    bucket are compared in blocks, which give numbers only. A signature of hot_sets documents
+    or more, by the sample, is not counted in one place; that changes no link."""
     scratch = scratch or Scratch(docs.sparkSession)
     d = keyed(docs, scratch)
     of, copies = copies_of(d, scratch)
     reps = only(d.select("k", "text"), of.where("k != rep").select("k"), "k", "left_anti")
-    found, sizes = candidates(reps, scratch)
+    found, sizes = candidates(reps, scratch, hot_sets)
     of = of.join(sizes.withColumnRenamed("k", "rep"), "rep")
     hubs = scratch.table(found.groupBy("sig").agg(F.min("k").alias("a"), F.count("*").alias("f")).where("f > 1"))
     pairs = scratch.table(beside(found, hubs, "sig", "f").where("a != k").select("a", F.col("k").alias("b")).distinct())

@@ -7,9 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Above this alphabet buckets are too small to handle one by one; names are then sorted by
-#: doubling the length by which they are ranked.
-BUCKETS = 4096
+#: Alphabets above this have buckets that are too small to be handled as arrays.
+BUCKETS = 1024
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -90,33 +89,31 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, k: int) -> np.nd
     return sa
 
 
-def _double(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names by doubling: what still ties is ranked by the
-    next h names. A rank is the place of the first of its ties."""
-    n = len(names)
-    counts = np.bincount(names)
-    rank = (np.cumsum(counts) - counts)[names]
-    live = np.flatnonzero(counts[names] > 1)
-    h = 1
-    while len(live):
-        follow = np.full(len(live), -1, np.int64)
-        inside = live + h < n
-        follow[inside] = rank[live[inside] + h]
-        old = rank[live]
-        order = np.argsort(old * (n + 1) + follow + 1)
-        live, old, follow = live[order], old[order], follow[order]
-        group = np.concatenate([[True], old[1:] != old[:-1]])
-        run = group.copy()
-        run[1:] |= follow[1:] != follow[:-1]
-        place = np.arange(len(live))
-        starts, runs = np.maximum.accumulate(np.where(group, place, 0)), np.maximum.accumulate(np.where(run, place, 0))
-        rank[live] = old + runs - starts
-        alone = run & np.append(run[1:], True)
-        live = live[~alone]
-        h *= 2
-    out = np.empty(n, np.int32)
-    out[rank] = np.arange(n, dtype=np.int32)
-    return out
+def _induce_one_by_one(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same where buckets are too small to be handled as arrays: suffixes are placed one
+    by one, up for the larger ones and down for the smaller ones."""
+    char, small = t.tolist(), s_type.tolist()
+    counts = np.bincount(t, minlength=k)
+    ends = np.cumsum(counts)
+    sa = [-1] * len(char)
+    tail = ends.tolist()
+    for i in reversed(lms.tolist()):
+        c = char[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = (ends - counts).tolist()
+    for j in sa:  # what is placed ahead is met later in this pass
+        if j > 0 and not small[j - 1]:
+            c = char[j - 1]
+            sa[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for j in reversed(sa):
+        if j > 0 and small[j - 1]:
+            c = char[j - 1]
+            tail[c] -= 1
+            sa[tail[c]] = j - 1
+    return np.array(sa, np.int32)
 
 
 def _name(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -148,19 +145,20 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     must be its only least."""
     n = len(t)
     k = int(t.max()) + 1 if n else 0
-    if n < 3 or k > BUCKETS:
-        return _double(np.unique(t, return_inverse=True)[1]) if n else np.zeros(0, np.int32)
+    if n < 3:
+        return np.arange(n, dtype=np.int32)[::-1]
+    induce = _induce_one_by_one if k > BUCKETS else _induce
     s_type = _types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(is_lms)
-    sa = _induce(t, s_type, lms, k)
+    sa = induce(t, s_type, lms, k)
     sa = _with_last(sa, n)
     order = sa[is_lms[sa]]
     names = _name(t, lms, order)
     if names.max() + 1 < len(lms):
         order = lms[suffix_array(names)]
-    return _with_last(_induce(t, s_type, order, k), n)
+    return _with_last(induce(t, s_type, order, k), n)
 
 
 def _with_last(sa: np.ndarray, n: int) -> np.ndarray:

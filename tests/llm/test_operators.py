@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from qscope.llm import fingerprint, jaccard_join, langid, lm_score, media, mixing, packing, sharding, suffix_dedup, token_io
+from qscope.llm import common, fingerprint, jaccard_join, langid, lm_score, media, mixing, packing, sharding, suffix_dedup, token_io
 from qscope.llm.queries import tokenizer_file
 from qscope.llm.suffix_array import common_prefixes, suffix_array
 from qscope.llm.tokens import PieceEncoder
@@ -94,8 +94,9 @@ def removal(rows):
     return out
 
 
-def test_jaccard_join(docs):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+@pytest.mark.parametrize("hot", [jaccard_join.HOT_SETS, 2])
+def test_jaccard_join(docs, hot):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, links_too=False, hot_sets=hot).collect()}
     assert got == components(ROWS)
 
 
@@ -151,7 +152,7 @@ def test_jaccard_join_signs_sets_together_as_alone():
     for i, s in enumerate(sets):
         alone = jaccard_join.enumerate_signatures(s)
         assert sorted(sig[k == i].tolist()) == sorted(x for a in alone for x in a.tolist())
-    assert jaccard_join._unpacked(jaccard_join._packed(k), len(k)).tolist() == k.tolist()
+    assert common.unpacked(common.packed(k), len(k)).tolist() == k.tolist()
 
 
 def test_jaccard_join_matrix_counts_by_patterns():
@@ -183,7 +184,26 @@ def test_suffix_dedup(docs, hot):
     assert got == removal(ROWS)
 
 
-def test_suffix_array():
+def test_suffix_dedup_of_long_texts_and_one_crowded_hash(spark):
+    """Texts over a segment (1 MB), repeats across its border, and many runs of one hash that
+    differ at their ends."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    passage = " ".join(word() for _ in range(30))
+    long = " ".join(word() for _ in range(190_000))
+    border = long[(1 << 20) - 90 : (1 << 20) + 120]
+    rows = [(1, long), (2, border + " " + word()), (3, "tail " + long[-400:]), (4, "ab" * 700), (5, "x" + "ab" * 300)]
+    rows += [(10 + i, word() + " " + passage + " " + word() + str(i)) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = removal(rows)
+    assert len(long) > 1 << 20
+    for hot in (suffix_dedup.HOT_RUNS, 1):
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(made, hot).collect()} == want
+
+
+@pytest.mark.parametrize("buckets", [1024, 1])
+def test_suffix_array(buckets, monkeypatch):
+    monkeypatch.setattr("qscope.llm.suffix_array.BUCKETS", buckets)
     r = np.random.default_rng(1)
     for _ in range(100):
         t = np.append(r.integers(1, r.integers(2, 6), r.integers(1, 60)), 0)
