@@ -99,7 +99,8 @@ def _least(prefix: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     first = (least & PLACE).astype(np.int64)
-    return hashes[first], first
+    # A least hash is a small number; mixed again, it falls into any range of keys.
+    return mix(hashes[first]), first
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,10 +13,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from qscope.llm import common, fingerprint, jaccard_join, langid, lm_score, media, mixing, packing, sharding, suffix_dedup, token_io
+from qscope.llm import common, fingerprint, jaccard_join, langid, lm_score, media, mixing, packing, sharding, suffix_dedup, token_io, tokens
 from qscope.llm.queries import tokenizer_file
 from qscope.llm.suffix_array import common_prefixes, suffix_array
-from qscope.llm.tokens import PieceEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k int, piece string"
 
@@ -428,13 +427,17 @@ def test_pipeline_stage_odd_tables(spark, empty, repeated, stage):
 
 
 @pytest.mark.parametrize(("name", "drop_space"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_pieces_are_the_librarys(name, drop_space):
+def test_pieces_are_the_librarys(name, drop_space, monkeypatch):
+    monkeypatch.setattr(tokens, "SPAN_CHARS", 7)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
     path = tokenizer_file(name)
-    library, own = Tokenizer.from_file(path), PieceEncoder(path, drop_space, 2)
+    library, own = Tokenizer.from_file(path), tokens.PieceEncoder(path, drop_space, 2)
     library.encode_special_tokens = True
+    latin = "".join(map(chr, range(256)))
 
     @settings(max_examples=300, deadline=None)
-    @given(st.one_of(st.text(max_size=30), st.text(alphabet=" \n\t\r\x1c\x85\xa0aB's\u00e91.!,&\u0120\u65e5", max_size=20)))
+    @given(st.one_of(st.text(max_size=30), st.text(alphabet=latin, max_size=30), st.text(alphabet=" \n\t\r\x1c\x85\xa0aB's\u00e91.!,&\u0120\u65e5", max_size=20)))
     def same(text):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
