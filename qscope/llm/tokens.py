@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
 
-#: White-space-delimited pieces, and pre-tokenized words, that a worker remembers; a cache is
-#: emptied when it is full.
+#: White-space-delimited pieces, and pre-tokenized words, that a worker remembers: the last
+#: so many, to twice as many.
 CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+#: Characters that are cut into pieces at once, where a text has spaces.
+SPAN_CHARS = 1 << 18
 #: Longer pieces and words are encoded but not remembered.
 CACHE_CHARS = 40
 MARKS = ",.;:!?&$%*#"
@@ -28,13 +31,36 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """Strings to their ids, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.make, self.older = make, dict(older)
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = ids
+        return ids
+
+    def renewed(self, most: int) -> Remembered:
+        """Itself, or what begins anew with this as the older half."""
+        if len(self) <= most:
+            return self
+        self.older.clear()
+        return Remembered(self.make, self)
+
+
 class PieceEncoder:
     """Ids of whole texts by a tokenizers file, the same as encode(text,
     add_special_tokens=False).
 
     Neither kind of vocabulary merges across a single space between two other characters
     that aren't white space: the pre-tokenizer starts a new match there. So a text is cut at
-    those spaces, each distinct piece is split into words by the pre-tokenizer's pattern, and
+    those spaces, in parts where it is long, each distinct piece is split into words by the pre-tokenizer's pattern, and
     each distinct word encoded by the library's model. drop_space: the vocabulary drops
     white space and case; otherwise a piece after the first keeps its leading space. The
     vocabulary's special strings are ordinary text."""
@@ -48,10 +74,11 @@ class PieceEncoder:
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.drop_space, self.end = drop_space, np.array([end], "<u4").tobytes()
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
+        self.words = Remembered(self._word, {})
+        self.pieces = Remembered(lambda p: self._piece(p, "" if drop_space else " "), {})
         self.find = regex.compile(SPACE_DROPPED if drop_space else SPACE_KEPT).findall
         self.other_space = re.compile(r"[^\S \n]").search
+        self.gap = re.compile(r"(?<=\S) (?=\S)").search
         self.apart = re.compile(r"(?<=\S) (?=\S)").split
         self.ids = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
 
@@ -61,12 +88,7 @@ class PieceEncoder:
         else:
             mapped = "".join(map(self.letters.__getitem__, word.encode()))
         found = self.model.tokenize(mapped)
-        out = self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
-        if len(word) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        return self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
 
     def _piece(self, piece: str, lead: str) -> bytes:
         """Ids of a piece after `lead`, from its words. Of most pieces the pattern's matches
@@ -79,11 +101,10 @@ class PieceEncoder:
             word = piece.rstrip(MARKS)
             if word.isalpha():
                 mark, word = piece[len(word) :], lead + word
-                ids = known.get(word) or self._word(word)
-                return ids + (known.get(mark) or self._word(mark)) if mark else ids
+                return known[word] + known[mark] if mark else known[word]
         elif top > "\uffff":  # the pattern's libraries differ on unassigned characters
             return np.array(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([known.get(w) or self._word(w) for w in self.find(lead + piece)])
+        return b"".join([known[w] for w in self.find(lead + piece)])
 
     def _cut(self, text: str) -> list[str]:
         """The text cut at single spaces between characters that aren't white space."""
@@ -91,25 +112,32 @@ class PieceEncoder:
             return self.apart(text)
         return text.split(" ")
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text in parts that begin, but for the first, with a space to cut at."""
+        at = 0
+        while len(text) - at > SPAN_CHARS:
+            m = self.gap(text, at + SPAN_CHARS)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, with the end id."""
-        if self.drop_space:
-            pieces, head, lead = text.replace("\n", " ").split(" "), b"", ""
-        else:
-            first, *pieces = self._cut(text)
-            head, lead = self._piece(first, ""), " "
-        cache, extra = self.cache, {}
-        missing = set(pieces).difference(cache)
-        if missing:
-            if len(cache) + len(missing) > CACHE_PIECES:
-                cache.clear()
-                missing = set(pieces)
-            kept = cache if len(missing) <= CACHE_PIECES else extra
-            for p in missing:
-                (kept if len(p) <= CACHE_CHARS else extra)[p] = self._piece(p, lead)
-            if extra:
-                return head + b"".join([extra[p] if p in extra else cache[p] for p in pieces]) + self.end
-        return head + b"".join(map(cache.__getitem__, pieces)) + self.end
+        out = []
+        for i, part in enumerate(self._parts(text)):
+            if self.drop_space:
+                pieces = part.replace("\n", " ").split(" ")
+            elif i:
+                pieces = self._cut(part[1:])
+            else:
+                first, *pieces = self._cut(part)
+                out.append(self._piece(first, ""))
+            out.extend(map(self.pieces.__getitem__, pieces))
+            self.pieces, self.words = self.pieces.renewed(CACHE_PIECES), self.words.renewed(CACHE_WORDS)
+        out.append(self.end)
+        return b"".join(out)
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
