@@ -77,11 +77,11 @@ class Culprit:
 
 
 def crash_culprit(source: DataFrame, then: Callable[[DataFrame], DataFrame]) -> Culprit | None:
-    """The first source row (by partition and place in it) that makes `then` fail, by
-    bisection over the rows' places: O(log n) runs, each of which throws away its result.
-    None if nothing fails. The source is kept while this runs, so that places hold."""
-    where = F.monotonically_increasing_id()
-    kept = source.withColumn("__at", where).persist()
+    """The first source row (by partition and place in it) that makes `then` fail: bisection
+    over the partitions, then over the rows of the first that fails, so about
+    log2(partitions) + log2(its rows) runs, each of which throws away its result. None if
+    nothing fails. The source is kept while this runs, so that places hold."""
+    kept = source.withColumn("__at", F.monotonically_increasing_id()).persist()
     plain = [c for c in kept.columns if c != "__at"]
 
     def error(low: int, high: int) -> str | None:
@@ -91,19 +91,25 @@ def crash_culprit(source: DataFrame, then: Callable[[DataFrame], DataFrame]) ->
             return str(e)
         return None
 
-    try:
-        ends = kept.agg(F.min("__at"), F.max("__at")).first()
-        if ends[0] is None or error(*ends) is None:
-            return None
-        low, high = ends
+    def first(fails: Callable[[int], bool], low: int, high: int) -> int:
+        """The least place up to which it fails; it does up to high."""
         while low < high:
             mid = (low + high) // 2
-            if error(low, mid) is not None:
+            if fails(mid):
                 high = mid
             else:
                 low = mid + 1
-        found = kept.where(F.col("__at") == low).select(*plain).first()
-        return Culprit(found, low >> 33, low & ((1 << 33) - 1), (error(low, low) or "").splitlines()[0][:500])
+        return low
+
+    try:
+        held = sorted((r[0], r[1]) for r in kept.groupBy(F.shiftright("__at", 33).alias("p")).count().collect())
+        if not held or error(0, (held[-1][0] << 33) + held[-1][1]) is None:
+            return None
+        i = first(lambda m: error(0, (held[m][0] << 33) + held[m][1] - 1) is not None, 0, len(held) - 1)
+        start, n = held[i][0] << 33, held[i][1]
+        at = first(lambda m: error(start, start + m) is not None, 0, n - 1)
+        found = kept.where(F.col("__at") == start + at).select(*plain).first()
+        return Culprit(found, held[i][0], at, (error(start + at, start + at) or "").splitlines()[0][:500])
     finally:
         kept.unpersist()
 
@@ -135,8 +141,9 @@ class Profile:
 
 
 def blame(lineage: Lineage, where: str, costs: DataFrame, source: int | str = 0, top: int = 10) -> DataFrame:
-    """Source rows behind chosen output rows by their profiled cost, matched on the columns
-    that both have."""
-    behind = lineage.backward(where, source)
-    shared = [c for c in behind.columns if c in costs.columns and c != "nanos"]
-    return costs.join(behind.select(*shared).distinct(), shared, "left_semi").orderBy(F.desc("nanos")).limit(top)
+    """Source rows behind chosen output rows by their profiled cost. costs carries the rid of
+    the source's rows, as the profile of `lineage.source(source).rows` does."""
+    if "rid" not in costs.columns:
+        raise ValueError("costs need the source's rid: profile lineage.source(...).rows")
+    behind = lineage.witnesses(lineage.annotated.where(where), lineage.source(source))
+    return costs.join(behind, "rid", "left_semi").orderBy(F.desc("nanos"), "rid").limit(top)

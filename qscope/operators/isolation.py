@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qscope.operators.lineage import Lineage
-from qscope.operators.rerun import with_data
-from qscope.plans.adapter import as_query
+from qscope.operators.lineage import Lineage, Source
+from qscope.operators.oracles import Wrong, condition
+from qscope.operators.rerun import with_data, with_scans
+from qscope.plans.adapter import UnsupportedOperator, as_query
+from qscope.sources.io import with_row_id
 
 
 def ddmin(things: Sequence[Hashable], failing: Callable[[list], bool], on_progress: Callable[[int], None] | None = None) -> list:
@@ -51,36 +53,77 @@ def ddmin(things: Sequence[Hashable], failing: Callable[[list], bool], on_progre
 
 @dataclass
 class Isolated:
+    #: The rows that are left, and their ids in the lineage.
     rows: list = field(default_factory=list)
-    outputs: list = field(default_factory=list)
+    rids: list = field(default_factory=list)
+    #: The wrong output rows, all of them.
+    outputs: DataFrame | None = None
+    #: How many rows are behind them.
     provenance: int = 0
 
 
-def isolate(spark: SparkSession, query: str | DataFrame, table: str, wrong: str, limit: int = 100_000, on_progress: Callable[[int], None] | None = None) -> Isolated:
-    """The rows of `table` that still make the query give a row satisfying `wrong`.
+#: Up to so many rows are collected and tried one by one; more are narrowed where they are,
+#: in so many buckets by hash at a time.
+COLLECTED, BUCKETS = 64, 16
 
-    Only rows in the lineage of the wrong rows are tried; they are counted first, and more
-    than `limit` is an error rather than a collection of unbounded size. A subset whose run
-    raises doesn't fail."""
+
+def isolate(spark: SparkSession, query: str | DataFrame, table: str, wrong: Wrong, on_progress: Callable[[int], None] | None = None) -> Isolated:
+    """The rows of a scan, by the name of its table, that still make the query give a row
+    that is wrong.
+
+    Only rows in the lineage of the wrong rows are tried; where the query's lineage can't be
+    told, all rows of the table. While they are many they stay on the cluster: they are
+    dealt into buckets by hash and delta debugging drops buckets, then deals again. A subset
+    whose run raises doesn't fail. Raises if the rows can't be narrowed to COLLECTED even in
+    as many buckets."""
     result = as_query(spark, query)
-    outputs = result.where(wrong).limit(1000).collect()
-    if not outputs:
+    bad = condition(result, wrong)
+    outputs = result.where(bad)
+    if not outputs.limit(1).count():
         return Isolated()
-    lin = Lineage(spark, query)
-    behind = lin.backward(wrong, table)
-    if behind.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows of {table} are behind the wrong output; make the oracle narrower")
-    rows = [tuple(r) for r in behind.collect()]
-    schema = behind.schema
-
-    def failing(subset: list) -> bool:
+    try:
+        lin = Lineage(spark, result)
+        s = lin.source(table)
+        behind = s.rows.join(lin.witnesses(lin.annotated.where(bad), s), "rid", "left_semi")
+        again = lambda rows: with_scans(spark, result, {s.attributes: rows})
+    except UnsupportedOperator:
+        behind = with_row_id(spark.table(table))
+        again = lambda rows: with_data(spark, query, {table: rows})
+    columns = [c for c in behind.columns if c != "rid"]
+    behind = behind.select("rid", *columns).persist()
+
+    def failing(rows: DataFrame) -> bool:
         try:
-            return bool(with_data(spark, query, {table: spark.createDataFrame(subset, schema)}).where(wrong).limit(1).count())
+            found = again(rows)
+            return bool(found.where(condition(found, wrong)).limit(1).count())
         except Exception:
             return False
 
-    indexed = ddmin(list(enumerate(rows)), lambda part: failing([r for _, r in part]), on_progress)
-    return Isolated([r for _, r in indexed], outputs, len(rows))
+    try:
+        total = left = behind.count()
+        now, buckets, salt = behind, BUCKETS, 0
+        while left > COLLECTED:
+            place = F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(buckets))
+            stay = ddmin(list(range(buckets)), lambda part, now=now, place=place: failing(now.where(place.isin(part)).select(*columns)), on_progress)
+            now = now.where(place.isin(stay))
+            fewer = now.count()
+            if fewer == left:
+                if buckets >= 4 * COLLECTED:
+                    raise ValueError(f"{left} rows of {table} are needed together for a wrong output")
+                buckets *= 4
+            left, salt = fewer, salt + 1
+        rows = now.orderBy("rid").collect()
+        schema = now.select(*columns).schema
+        kept = ddmin(rows, lambda part: failing(spark.createDataFrame([tuple(r)[1:] for r in part], schema)), on_progress) if rows else []
+        return Isolated([tuple(r)[1:] for r in kept], [r.rid for r in kept], outputs, total)
+    finally:
+        behind.unpersist()
+
+
+def narrowed(spark: SparkSession, query: DataFrame, lin: Lineage, source: Source, wrong: Wrong) -> DataFrame:
+    """(rid): the ids of the rows that isolation leaves of a source."""
+    found = isolate(spark, query, source.name, wrong)
+    return spark.createDataFrame([(r,) for r in found.rids], source.rows.select("rid").schema)
 
 
 def culprits(spark: SparkSession, found: Isolated, schema) -> DataFrame:

@@ -3,9 +3,24 @@ original output."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+#: A SQL predicate, a column, or a Python function of an output row.
+Wrong = str | Column | Callable[[Row], bool]
+
+
+def condition(out: DataFrame, wrong: Wrong) -> Column:
+    """What counts as wrong as a column over out."""
+    if isinstance(wrong, str):
+        return F.expr(wrong)
+    if isinstance(wrong, Column):
+        return wrong
+    make = Row(*out.columns)
+    return F.udf(lambda *values: bool(wrong(make(*values))), "boolean")(*[F.col(f"`{c}`") for c in out.columns])
+
 
 def at_least_max(out: DataFrame, column: str) -> Column:
     return F.col(column) >= F.lit(out.agg(F.max(column)).first()[0])

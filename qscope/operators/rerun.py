@@ -12,8 +12,9 @@ from qscope.plans.adapter import Plans, UnsupportedOperator, as_query
 
 @contextmanager
 def views(spark: SparkSession, data: dict[str, DataFrame]):
-    """Temp views for a while; those that were there before come back."""
-    before = {n: spark.table(n) for n in data if spark.catalog.tableExists(n)}
+    """Temp views for a while; temp views that were there before come back, and tables of
+    these names are seen again."""
+    before = {n: spark.table(n) for n in data if any(t.isTemporary and t.name.lower() == n.lower() for t in spark.catalog.listTables(pattern=n))}
     try:
         for name, df in data.items():
             df.createOrReplaceTempView(name)
@@ -28,7 +29,7 @@ def views(spark: SparkSession, data: dict[str, DataFrame]):
 def substitutable(spark: SparkSession, query: str | DataFrame) -> list[str]:
     """Names of the sources that can be swapped."""
     p = Plans(spark)
-    return sorted({n.alias() for n in p.walk(p.analyzed(as_query(spark, query))) if p.kind(n) == "SubqueryAlias"})
+    return sorted({n.alias() for n in p.everywhere(p.analyzed(as_query(spark, query))) if p.kind(n) == "SubqueryAlias"})
 
 
 def require_substitutable(spark: SparkSession, query: str | DataFrame, names) -> None:
@@ -45,16 +46,30 @@ def with_data(spark: SparkSession, query: str | DataFrame, data: dict[str, DataF
         with views(spark, data):
             return spark.sql(query)
     require_substitutable(spark, query, data)
+    return _swapped(p, p.analyzed(query), lambda node: data.get(node.alias()) if p.kind(node) == "SubqueryAlias" else None)
+
+
+def with_scans(spark: SparkSession, query: DataFrame, rows: dict[tuple[int, ...], DataFrame]) -> DataFrame:
+    """The query over other rows of single scans, which their attributes tell apart: of a
+    view, what it reads; of a self-join, one side."""
+    p = Plans(spark)
+    return _swapped(p, p.analyzed(query), lambda node: None if p.children(node) else rows.get(tuple(a.exprId().id() for a in p.output(node))))
+
+
+def _swapped(p: Plans, plan, replacement) -> DataFrame:
+    """The plan with some nodes replaced; attributes keep their identity."""
 
     def swap(node):
-        if p.kind(node) == "SubqueryAlias" and node.alias() in data:
-            new, old = data[node.alias()], p.output(node)
+        new = replacement(node)
+        if new is not None:
+            old = p.output(node)
             base = new.select(*[F.col(f"`{a.name()}`").cast(a.dataType().json().strip('"')).alias(a.name()) if a.dataType().simpleString().isalpha() else F.col(f"`{a.name()}`") for a in old])
             plan = p.analyzed(base)
             names = [p.jvm.org.apache.spark.sql.catalyst.expressions.Alias(x, a.name(), a.exprId(), a.qualifier(), p.none(), p.seq([])) for x, a in zip(p.output(plan), old, strict=True)]
             return p.project(names, plan)
         kids = p.children(node)
-        new = [swap(c) for c in kids]
-        return p.with_children(node, new) if any(a is not b for a, b in zip(kids, new, strict=True)) else node
+        changed = [swap(c) for c in kids]
+        node = p.with_children(node, changed) if any(a is not b for a, b in zip(kids, changed, strict=True)) else node
+        return p.with_subqueries(node, swap)
 
-    return p.frame(swap(p.analyzed(query)))
+    return p.frame(swap(plan))

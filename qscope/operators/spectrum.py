@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qscope.operators.isolation import narrowed
 from qscope.operators.lineage import Lineage
+from qscope.operators.oracles import Wrong, condition
 from qscope.operators.steps import decompose
-from qscope.plans.adapter import UnsupportedOperator
+from qscope.plans.adapter import UnsupportedOperator, as_query
 
 
 def tarantula(ef: int, ep: int, failing: int, passing: int) -> float:
@@ -37,32 +39,45 @@ class Suspect:
     score: float
 
 
-def localize(spark: SparkSession, query: str | DataFrame, wrong: str, formula: str = "tarantula", table: str | int = 0) -> list[Suspect]:
+def localize(spark: SparkSession, query: str | DataFrame, wrong: Wrong, formula: str = "tarantula", table: str | int = 0, narrow: bool = False) -> list[Suspect]:
     """Operations by suspicion. The source rows behind wrong and right outputs are marked;
-    each step and branch is annotated on its own and counts the marked rows that reach it.
-    Rows behind both count on either side."""
+    how many of them reach each step and branch is counted for all of them in one job. Rows
+    behind both count on either side. narrow: of the rows behind wrong outputs, only those
+    that delta debugging keeps are marked as such."""
     score = FORMULAS[formula.lower()]
-    lin = Lineage(spark, query)
+    df = as_query(spark, query)
+    lin = Lineage(spark, df)
     source = lin.source(table)
-    marks = lin.annotated.select(F.explode(source.column).alias("rid"), F.expr(f"coalesce({wrong}, false)").alias("bad"))
-    marks = marks.groupBy("rid").agg(F.bool_or("bad").alias("f"), F.bool_or(~F.col("bad")).alias("p")).persist()
-    total = marks.agg(F.count_if("f").alias("f"), F.count_if("p").alias("p")).first()
-    if not total.f:
-        raise ValueError("the oracle rejects no output row")
-    out = []
-    for step in decompose(spark, query):
-        if not step.children:
-            continue
-        for data, name, branch in [(step.data, f"{step.operator} {step.detail}", False), *((b.data, ("NOT " if b.negated else "") + b.condition, True) for b in step.branches)]:
-            try:
-                part = Lineage(spark, data, strict=False)
-            except UnsupportedOperator:
-                continue
-            same = next((s for s in part.sources if s.name == source.name or s.rows.columns == source.rows.columns), None)
-            if same is None:
+    bad = F.coalesce(condition(lin.result, wrong), F.lit(False))
+    behind = narrowed(spark, df, lin, source, wrong) if narrow else lin.witnesses(lin.annotated.where(bad), source)
+    marks = behind.withColumn("f", F.lit(True)).withColumn("p", F.lit(False)).unionAll(lin.witnesses(lin.annotated.where(~bad), source).withColumn("f", F.lit(False)).withColumn("p", F.lit(True)))
+    marks = marks.groupBy("rid").agg(F.bool_or("f").alias("f"), F.bool_or("p").alias("p")).persist()
+    try:
+        total = marks.agg(F.count_if("f").alias("f"), F.count_if("p").alias("p")).first()
+        if not total.f:
+            raise ValueError("the oracle rejects no output row")
+        places, reach = [], None
+        for step in decompose(spark, df):
+            if not step.children:
                 continue
-            reach = part.annotated.select(F.explode(same.column).alias("rid")).distinct().join(marks, "rid")
-            r = reach.agg(F.count_if("f").alias("f"), F.count_if("p").alias("p")).first()
-            out.append(Suspect(step.id, name, branch, r.f, r.p, score(r.f, r.p, total.f, total.p)))
-    marks.unpersist()
+            for data, name, branch in [(step.data, f"{step.operator} {step.detail}", False), *((b.data, ("NOT " if b.negated else "") + b.condition, True) for b in step.branches)]:
+                try:
+                    part = Lineage(spark, data, strict=False)
+                except UnsupportedOperator:
+                    continue
+                same = next((s for s in part.sources if s.attributes == source.attributes), None)
+                if same is None:
+                    continue
+                rows = part.witnesses(part.annotated, same).select("rid", F.lit(len(places)).alias("place"))
+                reach = rows if reach is None else reach.unionAll(rows)
+                places.append((step.id, name, branch))
+        if reach is None:
+            return []
+        counted = {r.place: r for r in reach.join(marks, "rid").groupBy("place").agg(F.count_if("f").alias("f"), F.count_if("p").alias("p")).collect()}
+    finally:
+        marks.unpersist()
+    out = []
+    for i, (step_id, name, branch) in enumerate(places):
+        f, p = (counted[i].f, counted[i].p) if i in counted else (0, 0)
+        out.append(Suspect(step_id, name, branch, f, p, score(f, p, total.f, total.p)))
     return sorted(out, key=lambda s: (-s.score, not s.branch, s.step))

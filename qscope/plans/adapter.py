@@ -25,6 +25,11 @@ def as_query(spark: SparkSession, query: str | DataFrame) -> DataFrame:
     return query
 
 
+def holds_plan(expression) -> bool:
+    """Whether an expression holds a plan."""
+    return expression.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
+
+
 def items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
@@ -76,6 +81,34 @@ class Plans:
             yield from self.walk(c)
         yield node
 
+    def everywhere(self, node) -> Iterator:
+        """walk, with the plans of subquery expressions."""
+        for n in self.walk(node):
+            for sub in self.subqueries(n):
+                yield from self.everywhere(sub)
+            yield n
+
+    def with_subqueries(self, node, change):
+        """The node with the plans of its subquery expressions changed."""
+
+        def inside(e):
+            if holds_plan(e):
+                return e.withNewPlan(change(e.plan()))
+            kids = items(e.children())
+            new = [inside(c) for c in kids]
+            return e.withNewChildren(self.seq(new)) if any(a is not b for a, b in zip(kids, new, strict=True)) else e
+
+        if not self.subqueries(node):
+            return node
+        kind, child = self.kind(node), self.children(node)[0]
+        if kind == "Filter":
+            return self.filter(inside(node.condition()), child)
+        if kind == "Project":
+            return self.project([inside(e) for e in items(node.projectList())], child)
+        if kind == "Aggregate":
+            return self.aggregate([inside(e) for e in items(node.groupingExpressions())], [inside(e) for e in items(node.aggregateExpressions())], child)
+        raise UnsupportedOperator(kind, "a subquery")
+
     def with_children(self, node, children: list):
         return node.withNewChildren(self.seq(children))
 
@@ -103,6 +136,11 @@ class Plans:
     def filter(self, condition, child):
         return self.jvm.org.apache.spark.sql.catalyst.plans.logical.Filter(condition, child)
 
+    def alias(self, expression, name: str):
+        """The expression under a name of its own."""
+        catalyst = self.jvm.org.apache.spark.sql.catalyst.expressions
+        return catalyst.Alias(expression, name, catalyst.NamedExpression.newExprId(), self.seq([]), self.none(), self.seq([]))
+
     def negate(self, condition):
         return getattr(self.jvm.org.apache.spark.sql.catalyst.expressions, "Not")(condition)
 

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qscope.operators import debug, influence, isolation, oracles, pathtests, rerun, spectrum, steps
+from qscope.functions import udf_reader
+from qscope.operators import debug, influence, isolation, oracles, pathtests, recall, rerun, spectrum, steps
 from qscope.operators.incremental import Incremental
 from qscope.operators.lineage import Lineage
 
@@ -171,6 +172,116 @@ def _(spark):
     return Lineage(spark, "SELECT o_orderstatus, sum(o_totalprice) AS t FROM orders GROUP BY o_orderstatus").edges().groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+for side, n_0, n_1 in (("LEFT", "1", "CASE WHEN o_orderkey IS NULL THEN 0 ELSE 1 END"), ("RIGHT", "CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END", "1"), ("FULL", "CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END", "CASE WHEN o_orderkey IS NULL THEN 0 ELSE 1 END")):
+    OUTER = f"FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c {side} JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c.c_custkey = o.o_custkey"
+
+    @register(f"lineage_outer_{side.lower()}", f"SELECT c_custkey, o_orderkey, CAST({n_0} AS BIGINT) AS n_0, CAST({n_1} AS BIGINT) AS n_1 {OUTER}")
+    def _(spark, q=f"SELECT c_custkey, o_orderkey {OUTER}"):
+        return Lineage(spark, q).witness_counts()
+
+
+for name, grouping in (("cube", "CUBE (o_orderstatus, o_orderpriority)"), ("grouping_sets", "GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")):
+
+    @register(f"lineage_{name}", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n_0 FROM orders GROUP BY {grouping}")
+    def _(spark, q=f"SELECT o_orderstatus, o_orderpriority, sum(o_totalprice) AS t FROM orders GROUP BY {grouping}"):
+        return Lineage(spark, q).witness_counts().drop("t")
+
+
+@register("lineage_count_distinct", "SELECT o_orderstatus, count(*) AS n_0 FROM orders GROUP BY o_orderstatus")
+def _(spark):
+    return Lineage(spark, "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus").witness_counts().drop("n")
+
+
+@register("lineage_having", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 12)")
+def _(spark):
+    return Lineage(spark, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12").backward("true").select(*ORDER_COLUMNS)
+
+
+@register("lineage_union_distinct", "SELECT o_orderkey FROM orders WHERE o_custkey = 14")
+def _(spark):
+    return Lineage(spark, "SELECT user_id AS k FROM events UNION SELECT o_custkey FROM orders").backward("k = 14", "orders").select("o_orderkey")
+
+
+@register("lineage_except", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def _(spark):
+    return Lineage(spark, "SELECT o_custkey AS k FROM orders EXCEPT SELECT user_id FROM events WHERE event_type = 'click'").backward("true", "orders").select("o_orderkey")
+
+
+@register("lineage_cte_twice", "WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) SELECT a.k, b.k AS other, a.n AS n_0, b.n AS n_1 FROM t a JOIN t b ON a.k = b.k + 1")
+def _(spark):
+    return Lineage(spark, "WITH t AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT a.k, b.k AS other FROM t a JOIN t b ON a.k = b.k + 1").witness_counts()
+
+
+@register("lineage_scalar_subquery", "SELECT o_orderkey, CAST(1 AS BIGINT) AS n_0, (SELECT count(*) FROM orders) AS n_1 FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)")
+def _(spark):
+    return Lineage(spark, "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)").witness_counts()
+
+
+@register("lineage_correlated_scalar", "SELECT o_orderkey, CAST(1 AS BIGINT) AS n_0, (SELECT count(*) FROM orders b WHERE b.o_custkey = a.o_custkey) AS n_1 FROM orders a WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders b WHERE b.o_custkey = a.o_custkey)")
+def _(spark):
+    return Lineage(spark, "SELECT o_orderkey FROM orders a WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders b WHERE b.o_custkey = a.o_custkey)").witness_counts()
+
+
+@register("lineage_exists_or", "SELECT c_custkey, CAST(1 AS BIGINT) AS n_0, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) AS n_1 FROM customer WHERE c_acctbal > 9000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+def _(spark):
+    return Lineage(spark, "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)").witness_counts()
+
+
+@register("lineage_drop_duplicates", "SELECT o_custkey, count(*) AS n_0 FROM orders GROUP BY o_custkey")
+def _(spark):
+    return Lineage(spark, spark.table("orders").dropDuplicates(["o_custkey"])).witness_counts().select("o_custkey", "n_0")
+
+
+@register("lineage_theta", "SELECT r_name, n_name, CAST(1 AS BIGINT) AS n_0, CAST(1 AS BIGINT) AS n_1 FROM region JOIN nation ON r_regionkey < n_regionkey")
+def _(spark):
+    return Lineage(spark, "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey < n_regionkey").witness_counts()
+
+
+@register("lineage_self_join", "SELECT DISTINCT b.o_orderkey FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_totalprice > 490000")
+def _(spark):
+    q = "SELECT a.o_orderkey, a.o_totalprice AS p FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders) a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey"
+    return Lineage(spark, q).backward("p > 490000", "b").select("o_orderkey")
+
+
+@register("lineage_python_udf", "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F'")
+def _(spark):
+    big = F.udf(lambda x: x is not None and x > 400000, "boolean")
+    out = spark.table("orders").where(big("o_totalprice")).groupBy("o_orderstatus").count()
+    return Lineage(spark, out).backward("o_orderstatus = 'F'").select("o_orderkey")
+
+
+@register("lineage_window_of_aggregate", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3")
+def _(spark):
+    q = "SELECT c_nationkey, c_mktsegment, rank() OVER (PARTITION BY c_nationkey ORDER BY t) AS r FROM (SELECT c_nationkey, c_mktsegment, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, c_mktsegment)"
+    return Lineage(spark, q).backward("c_nationkey = 3 AND r = 1", "orders").agg(F.count("*").alias("n"))
+
+
+@register("trace_rows", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'FURNITURE'")
+def _(spark):
+    lin = Lineage(spark, SEGMENTS)
+    chosen = [t.id for t in lin.collect() if t.row.c_mktsegment == "FURNITURE"]
+    return lin.trace(chosen).go_back().go_back(0).show().select("o_orderkey")
+
+
+@register("trace_back_and_next", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def _(spark):
+    lin = Lineage(spark, SEGMENTS)
+    cursor = lin.trace([t.id for t in lin.collect()]).go_back(0).go_back(1).go_next().go_next()
+    return cursor.show().select("c_mktsegment", "n")
+
+
+def _recall_sql() -> str:
+    """What complete lineage gives: all selected rows come back."""
+    parts = [f"SELECT '{name}' AS query, count(*) AS wanted, count(*) AS found FROM ({q}) q WHERE {where}" for name, q, where in recall.CORPUS]
+    return " UNION ALL ".join(parts).replace("explode(split(text, ' '))", "unnest(string_split(text, ' '))")
+
+
+@register("lineage_recall", _recall_sql())
+def _(spark):
+    found = [(name, *recall.recall(spark, q, where)) for name, q, where in recall.CORPUS]
+    return spark.createDataFrame(found, "query string, wanted long, found long")
+
+
 # ---------------------------------------------------------------- decomposition and rerun
 
 CASES = "SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS s FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 500"
@@ -223,6 +334,18 @@ _influence("min", "min(o_totalprice)", "low::DOUBLE / sum(low) OVER (PARTITION B
 _influence("multi", "max(o_totalprice) + sum(o_totalprice)", "greatest(top::DOUBLE / sum(top) OVER (PARTITION BY o_orderstatus), abs(o_totalprice) / sum(abs(o_totalprice)) OVER (PARTITION BY o_orderstatus))")
 
 
+@register("influence_having", "SELECT o_orderkey, round(greatest(abs(o_totalprice) / sum(abs(o_totalprice)) OVER (PARTITION BY o_custkey), 1.0::DOUBLE / count(*) OVER (PARTITION BY o_custkey)), 9) AS score FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 12)")
+def _(spark):
+    # The count of HAVING is an aggregate like the sum, so the greater share decides.
+    q = "SELECT k, s * 2 AS y FROM (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey HAVING count(*) > 12) t"
+    return influence.influence(spark, q, "y > 0").select("o_orderkey", F.round("score", 9).alias("score"))
+
+
+@register("influence_top", "SELECT o_orderkey, round(abs(o_totalprice) / (SELECT sum(abs(o_totalprice)) FROM orders WHERE o_orderstatus = 'F'), 9) AS score FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC LIMIT 10")
+def _(spark):
+    return influence.most_influential(spark, SUMS.format(f="sum(o_totalprice)"), "o_orderstatus = 'F'", 10).select("o_orderkey", F.round("score", 9).alias("score"))
+
+
 @register("oracle_max", "SELECT o_orderkey FROM orders WHERE o_totalprice >= (SELECT max(o_totalprice) FROM orders)")
 def _(spark):
     o = spark.table("orders")
@@ -260,13 +383,18 @@ NEGATED = "SELECT c_mktsegment, sum(CASE WHEN o_totalprice > 499000 THEN -o_tota
 
 @register("isolate_ddmin", "SELECT o_orderkey FROM orders WHERE o_orderkey = 77")
 def _(spark):
-    q = "SELECT o_orderpriority, sum(CASE WHEN o_orderkey = 77 THEN -1000000000000 ELSE o_totalprice END) AS t FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders WHERE o_orderkey = 77) GROUP BY o_orderpriority"
-    key = spark.sql("SELECT o_custkey FROM orders WHERE o_orderkey = 77").first()[0]
-    q = q.replace("(SELECT max(o_custkey) FROM orders WHERE o_orderkey = 77)", str(key))
+    q = "SELECT o_orderpriority, sum(CASE WHEN o_orderkey = 77 THEN -1000000000000 ELSE o_totalprice END) AS t FROM orders GROUP BY o_orderpriority"
     found = isolation.isolate(spark, q, "orders", "t < 0")
     return isolation.culprits(spark, found, spark.table("orders").schema).select("o_orderkey")
 
 
+@register("isolate_by_function", "SELECT o_orderkey FROM orders WHERE o_orderkey = 77")
+def _(spark):
+    q = "SELECT o_orderpriority, max(CASE WHEN o_orderkey = 77 THEN 1000000000000 ELSE o_totalprice END) AS m FROM orders GROUP BY o_orderpriority"
+    found = isolation.isolate(spark, q, "orders", lambda row: row.m > 1_000_000_000)
+    return isolation.culprits(spark, found, spark.table("orders").schema).select("o_orderkey")
+
+
 @register("spectrum_tarantula", "SELECT 1.0::DOUBLE AS score, count(*) AS failing FROM orders WHERE o_totalprice > 499000")
 def _(spark):
     top = spectrum.localize(spark, NEGATED, "t < 0")[0]
@@ -308,7 +436,7 @@ def _(spark):
 @register("blame")
 def _(spark):
     lin = Lineage(spark, "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-    return debug.blame(lin, "lang = 'de'", debug.Profile(spark.table("documents"), "sha2(upper(text), 512)").counted).select("doc_id", "nanos")
+    return debug.blame(lin, "lang = 'de'", debug.Profile(lin.source(0).rows, "sha2(upper(text), 512)").counted).select("doc_id", "nanos")
 
 
 @register("incremental_answer", "SELECT c_name, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 460000")
@@ -336,15 +464,40 @@ def _(spark):
 
 @register("fuzz_coverage")
 def _(spark):
-    r = pathtests.fuzz(spark, CASES, {"orders": spark.table("orders")}, iterations=3, seed=1)
-    return spark.createDataFrame([(r.iterations, r.branches, r.coverage)], "iterations int, branches int, coverage double")
+    r = pathtests.fuzz(spark, CASES, {"orders": spark.table("orders")}, iterations=8, seed=1)
+    return spark.createDataFrame([(r.iterations, r.jobs, r.branches, r.coverage)], "iterations int, jobs int, branches int, coverage double")
+
+
+@register("fuzz_guided", "SELECT 4 AS branches, 1.0::DOUBLE AS coverage")
+def _(spark):
+    r = pathtests.fuzz(spark, CASES, {"orders": spark.table("orders")}, iterations=24, strategy="guided", seed=1)
+    return spark.createDataFrame([(r.branches, r.coverage)], "branches int, coverage double")
 
 
 @register("testgen_solutions")
 def _(spark):
     seeds = {"orders": spark.table("orders")}
     cases = pathtests.generate_tests(spark, CASES, seeds)
-    return spark.createDataFrame([("".join("1" if m else "0" for m in c.mask), c.note) for c in cases], "path string, note string")
+    return spark.createDataFrame([("".join("1" if m else "0" for m in c.mask), c.note, pathtests.verify(spark, CASES, seeds, c)) for c in cases], "path string, note string, verdict string")
+
+
+def grade(price):
+    if price is None:
+        return "none"
+    if price > 400000:
+        return "high"
+    return "mid" if price > 100000 else "low"
+
+
+@register("testgen_through_udf", "SELECT path, 'verified' AS verdict FROM (VALUES ('high'), ('not high')) t(path)")
+def _(spark):
+    """Inputs for either side of a comparison with a Python UDF's result, read from its source."""
+    spark.udf.register("grade", grade, "string")
+    seeds, q = {"orders": spark.table("orders")}, "SELECT o_orderkey FROM orders WHERE grade(o_totalprice) = 'high'"
+    known = {"grade": udf_reader.analyze(grade)}
+    cases = pathtests.generate_tests(spark, q, seeds, max_paths=1, udfs=known)
+    sides = [(c, "high" if c.mask[0] else "not high") for c in cases if c.mask[0] is not None]
+    return spark.createDataFrame([(side, pathtests.verify(spark, q, seeds, c, known)) for c, side in sides], "path string, verdict string")
 
 
 # ---------------------------------------------------------------- subject programs on the test data

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,15 @@ def read(spark: SparkSession, path: str, schema: str | None = None, fmt: str | N
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Row ids that hold between runs over the same files: file and row for Parquet."""
-    try:
-        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")))
-    except Exception as e:
-        if "UNRESOLVED" not in str(e) and "_metadata" not in str(e):
-            raise
-        return df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")))
+    """Row ids that hold between runs over the same files: file and row for Parquet, file and
+    running number for other formats."""
+    number = F.monotonically_increasing_id()
+    for file, row in (("_metadata.file_path", F.col("_metadata.row_index")), ("_metadata.file_path", number)):
+        try:
+            return df.withColumn(name, F.struct(F.xxhash64(file).alias("f"), row.alias("r")))
+        except AnalysisException:
+            continue
+    return df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), number.alias("r")))
 
 
 def write_edges(edges: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -34,4 +37,4 @@ def write_edges(edges: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_edges_jdbc(edges: DataFrame, url: str, table: str, batch: int = 1000) -> None:
-    edges.select(*[c for c in edges.columns if c != "rid"], F.col("rid.r").alias("rid_row")).write.option("batchsize", batch).jdbc(url, table)
+    edges.select(*[c for c in edges.columns if c != "rid"], F.col("rid.f").alias("rid_file"), F.col("rid.r").alias("rid_row")).write.option("batchsize", batch).jdbc(url, table)

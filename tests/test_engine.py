@@ -3,8 +3,8 @@
 import pytest
 
 from qscope.functions import distributions, udf_reader
-from qscope.operators import pathtests, rerun, spectrum
-from qscope.operators.isolation import ddmin
+from qscope.operators import debug, influence, pathtests, rerun, spectrum
+from qscope.operators.isolation import ddmin, isolate
 from qscope.operators.lineage import Lineage
 from qscope.plans.adapter import UnsupportedOperator
 
@@ -17,6 +17,125 @@ def sales(spark):
     return df
 
 
+def counts(lin):
+    n = len(lin.sources)
+    return sorted((tuple(r) for r in lin.witness_counts().collect()), key=str), n
+
+
+def test_lineage_of_null_groups_and_outer_rows(spark, sales):
+    lin = Lineage(spark, "SELECT v, count(*) AS n FROM sales GROUP BY v")
+    assert [tuple(r) for r in lin.backward("v IS NULL").collect()] == [("b", None)]
+    q = "SELECT k, n FROM (SELECT k, count(*) AS n FROM sales WHERE v > 4 GROUP BY k) x UNION ALL SELECT CAST(NULL AS STRING), v FROM sales WHERE k = 'c'"
+    assert counts(Lineage(spark, q))[0] == [("a", 1, 1, 0), ("b", 1, 1, 0), ("c", 1, 1, 0), (None, 9, 0, 1)]
+
+
+def test_sources_keep_their_aliases_and_ambiguity_is_refused(spark, sales):
+    sales.select("k", (sales.v + 1).alias("w")).createOrReplaceTempView("shifted")
+    lin = Lineage(spark, "SELECT a.k, b.w FROM shifted a JOIN shifted b ON a.k = b.k AND a.w < b.w")
+    assert [s.name for s in lin.sources] == ["a", "b"]
+    assert [r.v for r in lin.backward("true", "b").collect()] == [5]
+    with pytest.raises(KeyError, match="several sources"):
+        lin.source("shifted")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "orc", "parquet"])
+def test_lineage_of_file_formats(spark, tmp_path, fmt):
+    from qscope.sources.io import read, with_row_id
+
+    path = str(tmp_path / f"t.{fmt}")
+    rows = [("a", 1), ("a", 5), ("b", 7), ("b", None), ("c", 9)] * 3
+    out = spark.createDataFrame(rows, "k string, v int").repartition(3).write
+    (out.option("header", True) if fmt == "csv" else out).format(fmt).save(path)
+    read(spark, path).createOrReplaceTempView("stored")
+    lin = Lineage(spark, "SELECT k, sum(v) AS s FROM stored GROUP BY k")
+    assert sorted(r.v or 0 for r in lin.backward("k = 'b'").collect()) == [0, 0, 0, 7, 7, 7]
+    assert sorted(r.k for r in lin.forward("v = 9").collect()) == ["c"]
+    ids = with_row_id(read(spark, path)).select("rid").distinct()
+    assert ids.count() == 15
+    edges = lin.edges()
+    assert edges.count() == 15 and edges.join(ids, "rid", "left_semi").count() == 15
+
+
+def test_lineage_of_nothing_and_of_cached_rows(spark, sales):
+    none = sales.where("false")
+    assert Lineage(spark, none.groupBy("k").count()).witness_counts().collect() == []
+    assert [tuple(r) for r in Lineage(spark, none.groupBy().count()).witness_counts().collect()] == [(0, 0)]
+    kept = sales.where("v > 4").cache()
+    assert counts(Lineage(spark, kept.groupBy("k").count()))[0] == [("a", 1, 1), ("b", 1, 1), ("c", 1, 1)]
+
+
+def test_refused_shapes(spark, sales):
+    made = sales.mapInPandas(lambda parts: parts, sales.schema)
+    with pytest.raises(UnsupportedOperator, match="MapInPandas"):
+        Lineage(spark, made)
+
+
+def test_cursor_goes_back_and_next(spark, sales):
+    lin = Lineage(spark, "SELECT k, count(*) AS n FROM (SELECT k, v, rank() OVER (PARTITION BY k ORDER BY v) AS r FROM sales) t WHERE r = 1 GROUP BY k")
+    found = lin.collect()
+    cursor = lin.trace([t.id for t in found if t.row.k == "a"])
+    assert cursor.place == "output" and cursor.branches == ["Aggregate"]
+    assert cursor.go_back().branches == ["Window"]
+    assert [tuple(r) for r in cursor.show().collect()] == [("a", 1, 1)]
+    assert cursor.show(full=True).columns != cursor.show().columns
+    assert sorted(r.v for r in cursor.go_back().go_back().show().collect()) == [1, 5]
+    with pytest.raises(ValueError, match="source rows"):
+        cursor.go_back()
+    assert cursor.go_next().go_next().place == "Aggregate"
+    assert [r.n for r in cursor.go_next().show().collect()] == [1]
+    with pytest.raises(ValueError, match="at the output"):
+        cursor.go_next()
+
+
+def test_influence_knows_filters_above_the_aggregate(spark, sales):
+    q = "SELECT k, x * 2 AS y FROM (SELECT k, sum(v) AS x FROM sales GROUP BY k HAVING count(*) > 1) t"
+    got = influence.influence(spark, q, "y > 0")
+    assert sorted(r.k for r in got.collect()) == ["a", "a", "b", "b"]
+    assert influence.most_influential(spark, "SELECT sum(v) AS s FROM sales", "s > 0", 1).first().v == 9
+    assert influence.as_json(got).first().json.startswith('{"row":{"k":')
+
+
+def test_influence_of_null_groups_ties_and_filters(spark):
+    spark.createDataFrame([(None, 4), (None, 4), (None, 1), ("x", 0), ("x", 0)], "k string, v int").createOrReplaceTempView("tied")
+    got = {(r.k, r.v): r.score for r in influence.influence(spark, "SELECT k, max(v) AS m FROM tied GROUP BY k", "m > 0").collect()}
+    assert got == {(None, 4): 0.5, (None, 1): 0.0}
+    got = [r.score for r in influence.influence(spark, "SELECT k, sum(v) AS s FROM tied GROUP BY k", "k = 'x'").collect()]
+    assert got == [0.5, 0.5]
+    got = sorted(r.score for r in influence.influence(spark, "SELECT count(*) FILTER (WHERE v > 1) AS n FROM tied", "n = 2").collect())
+    assert got == [0.0, 0.0, 0.0, 0.5, 0.5]
+
+
+def test_blame_tells_equal_and_null_rows_apart(spark, sales):
+    lin = Lineage(spark, "SELECT k, count(*) AS n FROM sales GROUP BY k")
+    costs = lin.source(0).rows.selectExpr("*", "coalesce(v, 100) AS nanos")
+    assert [r.v for r in debug.blame(lin, "k = 'b'", costs).collect()] == [None, 7]
+    with pytest.raises(ValueError, match="rid"):
+        debug.blame(lin, "k = 'b'", sales)
+
+
+def test_crash_culprit_by_partition_and_place(spark):
+    rows = spark.range(0, 40, 1, 5)
+    found = debug.crash_culprit(rows, lambda d: d.selectExpr("1 div ((id - 21) * (id - 33)) AS x"))
+    assert (found.row.id, found.partition, found.index) == (21, 2, 5)
+    assert debug.crash_culprit(rows, lambda d: d) is None
+
+
+def test_isolation_narrows_many_rows_where_they_are(spark):
+    spark.range(3000).selectExpr("id", "id % 2 AS g").createOrReplaceTempView("many")
+    q = "SELECT g, sum(CASE WHEN id IN (77, 1301) THEN 1 ELSE 0 END) AS s FROM many GROUP BY g"
+    found = isolate(spark, q, "many", "s > 1")
+    assert sorted(r[0] for r in found.rows) == [77, 1301] and found.provenance == 1500
+    assert found.outputs.count() == 1
+    found = isolate(spark, q, "many", lambda row: row.s > 1)
+    assert sorted(r[0] for r in found.rows) == [77, 1301]
+
+
+def test_localize_narrowed(spark, sales):
+    q = "SELECT k, sum(CASE WHEN v = 5 THEN -100 ELSE v END) AS s FROM sales GROUP BY k"
+    wide, narrow = (spectrum.localize(spark, q, "s < 0", narrow=n)[0] for n in (False, True))
+    assert (wide.failing, narrow.failing) == (1, 1) and narrow.branch and narrow.score == 1.0
+
+
 def test_ddmin_pair():
     assert ddmin(list(range(20)), lambda s: 3 in s and 17 in s) == [3, 17]
 
@@ -83,6 +202,93 @@ def test_distributions():
         distributions.parse("c", "normal(1)")
 
 
+def test_a_table_behind_a_temporary_view_is_seen_again(spark):
+    spark.sql("DROP TABLE IF EXISTS perm")
+    spark.range(3).write.saveAsTable("perm")
+    try:
+        with rerun.views(spark, {"perm": spark.range(1)}):
+            assert spark.table("perm").count() == 1
+        assert spark.table("perm").count() == 3
+        assert [t.isTemporary for t in spark.catalog.listTables() if t.name == "perm"] == [False]
+    finally:
+        spark.sql("DROP TABLE perm")
+
+
+def test_with_data_reaches_subqueries(spark, sales):
+    q = "SELECT k FROM sales WHERE v IN (SELECT max(w) FROM other) OR v = (SELECT min(w) FROM other)"
+    spark.createDataFrame([(5,), (9,)], "w int").createOrReplaceTempView("other")
+    again = rerun.with_data(spark, spark.sql(q), {"other": spark.createDataFrame([(7,)], "w int")})
+    assert [r.k for r in again.collect()] == ["b"]
+
+
+def test_a_path_that_no_row_takes_is_not_verified(spark, sales):
+    q = "SELECT CASE WHEN v > 6 THEN 1 ELSE 0 END AS x FROM sales WHERE k = 'a'"
+    cases = pathtests.generate_tests(spark, q, {"sales": sales})
+    found = {c.mask: pathtests.verify(spark, q, {"sales": sales}, c) for c in cases}
+    names = [c.sql for c in pathtests.branch_conditions(spark, q)]
+    at, arm = (next(i for i, n in enumerate(names) if x in n) for x in ("'a'" if "'a'" in str(names) else "= a", "> 6"))
+    assert all((v == "verified") == m[at] for m, v in found.items())
+    assert "path not reached" in str(found) and arm != at
+    assert 0 < pathtests.coverage(spark, q, {"sales": sales}, cases) < 1
+
+
+def test_either_side_of_an_or_is_tried(spark, sales):
+    q = "SELECT k FROM sales WHERE (v > 3 AND v < 2) OR k = 'b'"
+    cases = pathtests.generate_tests(spark, q, {"sales": sales})
+    assert {c.note for c in cases} == {"solved"}
+
+
+def test_many_conditions_are_tried_alone(spark, sales):
+    q = "SELECT k FROM sales WHERE " + " AND ".join(f"v <> {i + 20}" for i in range(6)) + " AND k = 'b'"
+    cases = pathtests.generate_tests(spark, q, {"sales": sales}, max_paths=8)
+    assert {m for c in cases for m in c.mask} == {True, False, None}
+    assert len(cases) == 2 * len(cases[0].mask) and {pathtests.verify(spark, q, {"sales": sales}, c) for c in cases if c.rows} == {"verified"}
+
+
+def test_declared_distributions_feed_generation(spark, sales):
+    cases = pathtests.generate_tests(spark, "SELECT k FROM sales WHERE k = 'b'", {"sales": sales}, declared={"sales.v": "uniform(500, 600)"})
+    assert all(500 <= r["v"] <= 600 for c in cases for r in c.rows["sales"])
+
+
+def sized(score):
+    if score is None:
+        return "none"
+    return "big" if score > 100 else "small"
+
+
+def test_paths_through_a_udf(spark, sales):
+    known = {"sized": udf_reader.analyze(sized)}
+    assert udf_reader.solve_through(known["sized"], "'big'", True, {"score": "`v`"}) == ["(NOT (`v` IS NULL)) AND (`v` > 100)"]
+    spark.udf.register("sized", sized, "string")
+    q = "SELECT k FROM sales WHERE sized(v) = 'big'"
+    conds = pathtests.branch_conditions(spark, q, known)
+    assert len(conds) == 3  # the filter, and two inside the function
+    cases = pathtests.generate_tests(spark, q, {"sales": sales}, udfs=known)
+    good = [c for c in cases if pathtests.verify(spark, q, {"sales": sales}, c, known) == "verified"]
+    assert {c.mask[0] for c in good} == {True, False}
+    assert all(r["v"] > 100 for c in good if c.mask[0] for r in c.rows["sales"])
+
+
+def test_methods_with_arguments_are_not_read():
+    assert not udf_reader.analyze(stripped).solvable
+
+
+def stripped(x):
+    return 1 if x.strip("a") == "b" else 2
+
+
+def test_guided_fuzzing_keeps_what_covers_more(spark, sales):
+    q = "SELECT CASE WHEN v > 1000000 THEN 1 WHEN v < -1000000 THEN 2 ELSE 3 END AS x FROM sales WHERE k = 'b'"
+    found = pathtests.fuzz(spark, q, {"sales": sales}, iterations=24, rows=4, strategy="guided", seed=2)
+    assert found.coverage == 1.0 and found.corpus and found.jobs <= 6
+
+
+def test_fuzzing_tells_failing_inputs_apart(spark, sales):
+    q = "SELECT 1 div v AS x FROM sales WHERE v IS NOT NULL"
+    found = pathtests.fuzz(spark, q, {"sales": sales}, iterations=6, rows=3, seed=3)
+    assert len(found.failures) <= 6 and found.jobs >= 1
+
+
 def test_generated_cases_verify(spark, sales):
     q = "SELECT k FROM sales WHERE v > 3 AND k = 'b'"
     seeds = {"sales": sales}
