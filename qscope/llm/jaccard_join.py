@@ -58,9 +58,9 @@ SENT, RANGE = 1 << 20, 1 << 18
 #: driver holds at most one of 512 of the sample's signatures.
 LOOKED_AT, LEAST_SHARE, HOT_SETS = 8192, 2048, 1 << 20
 LAST = 1 << 60
-#: Sets in a block, and their features; patterns that are compared at once, and the most
-#: owners of a pattern whose pairs are listed.
-BLOCK, FEATURES, COLUMNS, LISTED = 1024, 1 << 20, 4096, 6
+#: Sets in a block, and about how many features they have; patterns that are compared at
+#: once; the most owners of a pattern whose pairs are listed, and pairs listed at once.
+BLOCK, FEATURES, COLUMNS, LISTED, PAIRS = 1024, 1 << 19, 4096, 6, 1 << 19
 #: Pairs with one hub in a task's group.
 HUB_PAIRS = 1024
 
@@ -372,33 +372,36 @@ def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(features, kind="stable")
     features, owner = features[order], owner[order]
+    del order, sets
     edge = np.flatnonzero(np.append(True, features[1:] != features[:-1]))
     times = np.diff(np.append(edge, len(features)))
     edge, times = edge[times > 1], times[times > 1]
-    both = np.zeros((n, n), np.float32)
+    del features
+    # Whole numbers up to 2^24 are exact in single precision.
+    kind = np.float32 if size.max() < 1 << 23 else np.float64
+    both = np.zeros((n, n), kind)
     if len(edge):
         marks = np.concatenate([[0], np.cumsum(mix(np.arange(1, n + 1, dtype=np.uint64) ^ SALTS[2])[owner], dtype=np.uint64)])
         _, first, weight = np.unique(marks[edge + times] - marks[edge], return_index=True, return_counts=True)
         edge, times = edge[first], times[first]
         few = times <= LISTED
-        cells, weights = [], []
         for t in range(2, LISTED + 1):
-            some = times == t
-            owners = owner[edge[some][:, None] + np.arange(t)].astype(np.int64)
-            for i in range(t):
-                for j in range(i + 1, t):
-                    cells.append(owners[:, i] * n + owners[:, j])
-                    weights.append(weight[some])
-        listed = np.bincount(np.concatenate(cells), np.concatenate(weights), n * n).reshape(n, n)
-        both += listed + listed.T
+            some, used = edge[times == t], weight[times == t].astype(float)
+            i, j = np.triu_indices(t, 1)
+            step = PAIRS // len(i)
+            for c in range(0, len(some), step):
+                owners = owner[some[c : c + step, None] + np.arange(t)].astype(np.int64)
+                listed = np.bincount((owners[:, i] * n + owners[:, j]).ravel(), np.repeat(used[c : c + step], len(i)), n * n).reshape(n, n)
+                both += listed
+                both += listed.T
         edge, times, weight = edge[~few], times[~few], weight[~few]
         for c in range(0, len(edge), COLUMNS):
             e, t = edge[c : c + COLUMNS], times[c : c + COLUMNS]
-            m = np.zeros((n, len(e)), np.float32)
+            m = np.zeros((n, len(e)), kind)
             m[owner[np.repeat(e - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))], np.repeat(np.arange(len(e)), t)] = 1
-            both += (m * weight[c : c + COLUMNS].astype(np.float32)) @ m.T
+            both += (m * weight[c : c + COLUMNS].astype(kind)) @ m.T
     left, right = np.flatnonzero(block == block[0]), np.flatnonzero(block == block[-1])
-    both = both[left[0] : left[-1] + 1, right[0] : right[-1] + 1]
+    both = both[left[0] : left[-1] + 1, right[0] : right[-1] + 1].astype(np.int64)
     either = size[left][:, None] + size[right][None] - both
     linked = 100 * both >= PERCENT * either
     if block[0] == block[-1]:
