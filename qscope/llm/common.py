@@ -331,13 +331,16 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 def range_part(column: str, lows: list[int]) -> F.Column:
-    """The index of the last of the ascending `lows` that is not above the column: a balanced
-    decision tree, so a row is placed in log(len(lows)) comparisons and no join."""
-
-    def tree(a: int, b: int) -> str:
-        if b - a == 1:
-            return str(a)
-        m = (a + b) // 2
-        return f"if({column} < {lows[m]}L, {tree(a, m)}, {tree(m, b)})"
-
-    return F.expr(tree(0, len(lows))).cast("int") if lows else F.lit(0)
+    """The index of the last of the ascending `lows` that is not above the column, 0 if none
+    is: a binary search in one constant array, so the expression stays small however many
+    there are."""
+    if not lows:
+        return F.lit(0)
+    steps = ", ".join(str(1 << i) for i in range(max(1, len(lows).bit_length()) - 1, -1, -1))
+    table = f"cast(split('{','.join(map(str, lows))}', ',') as array<bigint>)"
+    return F.expr(f"aggregate(array({steps}), 0, (at, step) -> if(at + step < {len(lows)} AND get({table}, at + step) <= {column}, at + step, at))")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its counted rows allow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

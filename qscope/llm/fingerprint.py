@@ -123,5 +123,5 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
     guest = F.struct(((part + 1) % max(1, m)).alias("p"), F.lit(True).alias("g"))
     both = F.when(F.col("k").isin([r.hi for r in heads]), F.array(own, guest)).otherwise(F.array(own))
     dealt = d.select("k", F.col("doc_id").cast("long").alias("doc_id"), F.explode(both).alias("_x"), "text").select("_x.p", "k", "doc_id", "_x.g", "text")
-    dealt = dealt.repartition(n, "p").sortWithinPartitions("p", "g", F.col("k").desc())
+    dealt = dealt.repartitionById(n, "p").sortWithinPartitions("p", "g", F.col("k").desc())
     return dealt.select("p", "doc_id", "g", "text").mapInArrow(_compare(bins, bits), OUT)

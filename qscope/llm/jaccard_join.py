@@ -534,17 +534,19 @@ def join(docs: DataFrame, scratch: Scratch | None = None, links_too: bool = True
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that link, directly or not, to one with a smaller doc_id;
-    one row of each group stays, and all rows with no shingles."""
+    one row of each group stays, and all rows with no shingles. Where doc_ids repeat or are
+    null, the first row by (doc_id, text) of a group stays, nulls first. Long texts are taken
+    whole. Columns may have any names; an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.table(join(docs, scratch, links_too=False).select("k", "doc_id", "component"))
     gone = found.where("k != component")
     again = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     if not again:
-        return only(docs, gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    # Repeated doc_ids: rows are told apart by their text as well, equal rows by a count.
+        return only(docs, gone.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Rows are told apart by their text as well, equal rows by a count.
     d = keyed(docs, scratch)
-    stay = d.join(gone.select("k"), "k", "left_anti").groupBy("doc_id", "text").agg(F.count("*").alias("_qscope_n"))
-    order = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
-    ranked = docs.withColumn("_qscope_r", F.row_number().over(order))
-    same = ranked["doc_id"].eqNullSafe(stay["doc_id"]) & ranked["text"].eqNullSafe(stay["text"]) & (ranked["_qscope_r"] <= stay["_qscope_n"])
-    return ranked.join(stay, same, "left_semi").select(*docs.columns)
+    stay = d.join(gone.select("k"), "k", "left_anti").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    ranked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64("row"))))
+    same = ranked["doc_id"].eqNullSafe(stay["doc_id"]) & ranked["text"].eqNullSafe(stay["text"]) & (ranked["nth"] <= stay["n"])
+    return ranked.join(stay, same, "left_semi").select("row.*")

@@ -63,7 +63,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = np.concatenate(found)
-    # Grams of fewer than two letters say nothing about letter order.
+    # Grams without a letter are left out.
     few = (grams % SYMBOLS != 0).astype(int) + (grams // SYMBOLS % SYMBOLS != 0) + (grams // SYMBOLS**2 != 0)
     return np.unique(grams[few >= 1], return_counts=True)
 
@@ -193,9 +193,13 @@ def identify(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 0) -
 
 
 def reject_unknown(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """docs without the rows whose language can't be told (`und`)."""
+    """docs without the rows whose language can't be told (`und`): null texts and texts without
+    a letter; all others stay, whatever their length. Repeated rows go or stay alike. Columns
+    may have any names; an empty table gives no rows."""
     profiles = learn(docs, sample_texts)
     if not profiles.langs:
         # Nothing is labelled: a text is rejected only if it has no letter.
         return docs.where(F.col("text").rlike("\\p{L}"))
-    return docs.withColumn("_qscope_p", predictor(docs.sparkSession, profiles)("text")).where(F.col("_qscope_p.lang_pred") != UND).drop("_qscope_p")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = docs.select(row, predictor(docs.sparkSession, profiles)("text").alias("found"))
+    return found.where(F.col("found.lang_pred") != UND).select("row.*")

@@ -43,15 +43,16 @@ def water_fill(sources: DataFrame, total: int, max_epochs: int, scratch: Scratch
 
 
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs plus size, source_size, target, taken.
+    """doc_id, source, size, source_size, target, taken for every row of docs.
 
     size counts the words of a text (null and empty: 0). Sources by code point, null last,
     weigh as `weights` repeats; their targets share all words by capped water-filling. With
     r = target / source_size, each document is taken floor(r) times whole; the rest of the
     target comes from documents in the order of md5(seed, doc_id), whole until the last, of
     which only the words still needed are taken. So a source's taken words are its target
-    rounded down. Sources without words have target 0. An empty table gives no rows; repeated
-    rows count each; extra columns pass through."""
+    rounded down. Sources without words have target 0. Texts are counted whole, however long;
+    documents with one hash follow by doc_id and size. An empty table gives no rows; repeated
+    rows count each; only doc_id, source and text are read."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sized = docs.select("doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_h"))
@@ -91,23 +92,35 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 0, weights: tuple[int,
 def mix_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
     """The mix as documents: docs' columns, a document whole as often as it is taken whole
     and once cut to its first words where only a part is taken; documents taken 0 times go.
-    n_chars, where there is one, is that of the text. Documents with no words stay once."""
+    n_chars, where there is one, is that of the text. Documents with no words, null and empty
+    texts among them, stay once. Rows that repeat doc_id, source and size are paired one by
+    one with what the mix takes of such rows. Columns may have any names; an empty table
+    gives no rows."""
     scratch = Scratch(docs.sparkSession)
+    same = ["doc_id", "source", "size"]
     taken = mix(docs, max_epochs, seed)
-    plan = scratch.table(taken.groupBy("doc_id", "size").agg(F.max("taken").alias("_t")).select("doc_id", F.col("size").alias("_size"), "_t"))
-    left = docs.withColumn("_n", word_count(F.col("text")))
-    left = left.join(plan, left["doc_id"].eqNullSafe(plan["doc_id"]) & (left["_n"] == plan["_size"])).drop(plan["doc_id"])
-    whole, part = F.expr("if(_n = 0, 1, _t div greatest(_n, 1))").cast("int"), F.expr("if(_n = 0, 0, _t % greatest(_n, 1))").cast("int")
-    left = left.withColumn("_w", whole).withColumn("_p", part)
-    pieces = F.concat(F.when(F.col("_w") > 0, F.array_repeat(F.lit(-1), F.col("_w"))).otherwise(F.array().cast("array<int>")), F.when(F.col("_p") > 0, F.array(F.col("_p"))).otherwise(F.array().cast("array<int>")))
-    left = left.withColumn("_k", F.explode(pieces))
-    first = F.regexp_extract("text", "", 0)
-    words = F.expr("regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
-    first = F.array_join(F.slice(words, F.lit(1), F.col("_k")), "")
-    left = left.withColumn("text", F.when(F.col("_k") > 0, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    again = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    if again:
+        # Which of the alike rows has which share is settled by their order.
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("taken"))))
+        left = left.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("row"))))
+        same = [*same, "nth"]
+    else:
+        same = ["doc_id"]
+    plan = scratch.table(taken.select(*[F.col(c).alias(f"its_{c}") for c in same], "taken"))
+    on = F.lit(True)
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"its_{c}"))
+    whole, part = F.expr("if(size = 0, 1, taken div greatest(size, 1))").cast("int"), F.expr("if(size = 0, 0, taken % greatest(size, 1))").cast("int")
+    none = F.array().cast("array<int>")
+    pieces = F.concat(F.when(whole > 0, F.array_repeat(F.lit(-1), whole)).otherwise(none), F.when(part > 0, F.array(part)).otherwise(none))
+    left = left.join(plan, on).select("row", F.explode(pieces).alias("words"))
+    words = F.expr("regexp_extract_all(row.text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
+    first = F.array_join(F.slice(words, F.lit(1), F.col("words")), "")
+    left = left.withColumn("new", F.when(F.col("words") > 0, first).otherwise(F.col("row.text")))
+    changed = {"text": F.col("new").alias("text"), "n_chars": F.coalesce(F.length("new"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
+    return left.select(*[F.col(f"row.`{c}`") if changed.get(c) is None else changed[c] for c in docs.columns])
 
 
 #: DuckDB, for the query over `documents` with the default parameters.

@@ -23,11 +23,13 @@ def plan(counts: np.ndarray, capacity: int, max_docs: int, max_cost: int, rule:
     """[(bins, lengths of a bin's pieces)] for counts[l] pieces of length l.
 
     Items with one length are alike, and so are bins with the same contents, so both are
-    handled as classes: lengths from the longest down; a length's pieces go, one a bin, to
-    the class of open bins that fits them under all three constraints and is best by the
-    rule, until all are placed; the rest opens new bins. rule "norm": the least weighted
-    norm of what the bin has left after it; "dot": the greatest weighted dot product of
-    the piece and what the bin has left. The work depends on the capacity, not on the
+    handled as classes: lengths from the longest down; a length's pieces go to the class of
+    open bins that fits them under all three constraints and is best by the rule, until all
+    are placed; the rest opens new bins. rule "norm": the least weighted norm of what the bin
+    has left after it, so a bin takes as many alike as fit before the next one does; "dot":
+    the greatest weighted dot product of the piece and what the bin has left, so bins of a
+    class take one each. Of classes that tie, the one that was opened first is taken. That is
+    what best-fit piece by piece would do. The work depends on the capacity, not on the
     number of documents."""
     scale = np.array([capacity, max_docs, max_cost], float)
     contents: list[list[int]] = []
@@ -43,25 +45,19 @@ def plan(counts: np.ndarray, capacity: int, max_docs: int, max_cost: int, rule:
                 after = (left[fits] - item) / scale
                 score = -(after * after @ w) if rule == "norm" else (left[fits] / scale) @ (w * item / scale)
                 best = int(np.flatnonzero(fits)[np.argmax(score)])
-                n = min(todo, int(number[best]))
-                number[best] -= n
-                rest, inside = left[best] - item, [*contents[best], length]
+                room, held, there = left[best], contents[best], int(number[best])
             else:
-                rest = scale - item
-                if (rest < 0).any():
+                room, held, there = scale, [], todo
+                if (room < item).any():
                     raise ValueError(f"a piece of {length} tokens breaks a constraint on its own")
-                # As many alike in each new bin as fit: what best-fit would do one by one.
-                each = max(1, int(min(capacity // length, max_docs, max_cost // length**2)))
-                each = min(each, todo)
-                n = todo // each
-                rest, inside = scale - item * each, [length] * each
-                contents.append(inside)
-                left, number = np.vstack([left, rest]), np.append(number, n)
-                todo -= n * each
-                continue
-            contents.append(inside)
-            left, number = np.vstack([left, rest]), np.append(number, n)
-            todo -= n
+                best = -1
+            each = min(todo, int((room // item).min())) if rule == "norm" or best < 0 else 1
+            n = min(there, todo // each)
+            if best >= 0:
+                number[best] -= n
+            contents.append([*held, *[length] * each])
+            left, number = np.vstack([left, room - item * each]), np.append(number, n)
+            todo -= n * each
     return [(int(n), c) for n, c in zip(number, contents, strict=True) if n]
 
 

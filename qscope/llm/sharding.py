@@ -67,7 +67,8 @@ def _fold(a: int, b: int, n: int, muls: str, adds: str) -> str:
     f = f"(if(i % 2 = 0, s.r, s.l) % {PRIME}L * get({muls}, i % {ROUNDS}) + get({adds}, i % {ROUNDS})) % {PRIME}L div 7L"
     left, right = f"if(i % 2 = 0, (s.l + {f}) % {a}L, s.l)", f"if(i % 2 = 0, s.r, (s.r + {f}) % {b}L)"
     moved = f"named_struct('l', {left}, 'r', {right}, 'd', i % {ROUNDS} = {ROUNDS - 1} AND ({right}) * {a}L + ({left}) < {n}L)"
-    return f"aggregate(sequence(0, {WALK * ROUNDS - 1}), named_struct('l', _l, 'r', _r, 'd', false), (s, i) -> if(s.d, s, {moved}), s -> s.r * {a}L + s.l)"
+    last = f"if(s.d, s.r * {a}L + s.l, cast(raise_error('a walk of over {WALK} passes') as bigint))"
+    return f"aggregate(sequence(0, {WALK * ROUNDS - 1}), named_struct('l', _l, 'r', _r, 'd', false), (s, i) -> if(s.d, s, {moved}), s -> {last})"
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:

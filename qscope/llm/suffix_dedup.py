@@ -412,7 +412,10 @@ def trimmed(text: str, ranges: list[dict] | None) -> str:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated substrings cut out of text; documents stay, n_chars follows."""
+    """docs with the repeated substrings cut out of text; documents stay, n_chars follows.
+    Null and short texts stay as they are. Of rows that repeat doc_id and text, the first
+    keeps what no smaller document has. Long texts are taken whole. Columns may have any
+    names; an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession)
     d = keyed(docs, scratch)
     ranges = _by_document(cuts(d.select("k", "text"), scratch))
@@ -421,19 +424,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(text, found):
         return text if text is None or not found else trimmed(text, found)
 
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     if d._renumbered:
-        names = scratch.table(d.select("k", "doc_id", "text").join(ranges, "k").select("doc_id", F.col("text").alias("_qscope_t"), "k", "ranges"))
         # Rows alike in doc_id and text: the first of them keeps most, so take them in order.
-        same = Window.partitionBy("doc_id", "_qscope_t").orderBy("k")
-        allk = d.select("k", "doc_id", F.col("text").alias("_qscope_t")).withColumn("_qscope_r", F.row_number().over(same))
-        allk = allk.join(names.select("k", "ranges"), "k", "left")
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        left = docs.withColumn("_qscope_r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*(rest or ["doc_id"]))))
-        on = left["doc_id"].eqNullSafe(allk["doc_id"]) & left["text"].eqNullSafe(allk["_qscope_t"]) & (left["_qscope_r"] == allk["_qscope_r"])
-        joined = left.join(allk.withColumnRenamed("ranges", "_qscope_c"), on, "left").select(*[left[c] for c in docs.columns], "_qscope_c")
+        same = Window.partitionBy("doc_id", "text")
+        allk = d.select("k", "doc_id", "text").withColumn("nth", F.row_number().over(same.orderBy("k"))).join(ranges, "k", "left")
+        left = left.withColumn("nth", F.row_number().over(same.orderBy(F.xxhash64("row"))))
+        on = left["doc_id"].eqNullSafe(allk["doc_id"]) & left["text"].eqNullSafe(allk["text"]) & (left["nth"] == allk["nth"])
+        joined = left.join(allk, on, "left").select("row", left["text"], "ranges")
     else:
-        joined = docs.join(ranges.select(F.col("k").alias("_qscope_k"), F.col("ranges").alias("_qscope_c")).hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_qscope_k"), "left").drop("_qscope_k")
-    out = joined.withColumn("text", F.when(F.col("_qscope_c").isNull(), F.col("text")).otherwise(cut("text", "_qscope_c")))
+        joined = left.join(ranges, left["doc_id"].cast("long") == ranges["k"], "left").select("row", "text", "ranges")
+    out = joined.withColumn("new", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(cut("text", "ranges")))
+    changed = {"text": F.col("new").alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_qscope_c").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("ranges").isNull(), F.col("row.n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")) for c in docs.columns])

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import Scratch, keyed, number_rows, partitions, range_part
+from qscope.llm.common import Scratch, keyed, number_rows, partitions, range_part, small
 from qscope.llm.tokens import encoder
 
 MAGIC, TAIL = b"QPL1", b"QPLX"
@@ -157,28 +157,31 @@ def write_corpus(docs: DataFrame, path: str, end: int, scratch: Scratch, bits: b
     if not lows:
         lows, starts = [0], {0: 0}
     withb = d.select(range_part("k", lows).alias("bucket"), "k", "text")
-    files = withb.repartition(n, "bucket").sortWithinPartitions("bucket", "k").mapInArrow(_encode(path, end, bits), FILES)
+    files = withb.repartitionById(n, "bucket").sortWithinPartitions("bucket", "k").mapInArrow(_encode(path, end, bits), FILES)
     files = scratch.table(files, "none")
     starts_df = spark.createDataFrame(list(starts.items()), "bucket int, rn0 long")
     before = Window.partitionBy("bucket").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     firsts = files.select("bucket", "file", "documents").withColumn("_before", F.coalesce(F.sum("documents").over(before), F.lit(0)))
     firsts = firsts.join(F.broadcast(starts_df), "bucket").select("bucket", "file", (F.col("rn0") + F.col("_before")).alias("first_rn"))
-    files = files.drop("first_rn").join(F.broadcast(firsts), ["bucket", "file"])
+    files = files.drop("first_rn").join(small(firsts), ["bucket", "file"])
     return files.select("bucket", "file", "first_rn", "documents", "ids", "lengths"), names
 
 
 def read_corpus(files: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the file images alone; names give the ids of
-    the documents. Files' totals, two numbers a file, are summed on the driver."""
+    the documents. Totals, one a bucket, are
+    summed on the driver."""
     spark = files.sparkSession
     digests = scratch.table(files.select("bucket", "file", "first_rn", "ids", "lengths").mapInArrow(_decode, DIGESTS))
-    totals = digests.groupBy("bucket", "file").agg(F.sum("n_tokens").alias("n")).orderBy("bucket", "file").collect()
+    totals = scratch.table(digests.groupBy("bucket", "file").agg(F.sum("n_tokens").alias("n")))
     rows, at = [], 0
-    for r in totals:
-        rows.append((r.bucket, r.file, at))
+    for r in totals.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect():
+        rows.append((r.bucket, at))
         at += r.n
-    starts = spark.createDataFrame(rows or [(0, 0, 0)], "bucket int, file int, _s long")
-    out = digests.join(F.broadcast(starts), ["bucket", "file"]).join(names, "rn")
+    starts = spark.createDataFrame(rows or [(0, 0)], "bucket int, _at long")
+    before = Window.partitionBy("bucket").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_b", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(starts), "bucket").select("bucket", "file", (F.col("_at") + F.col("_b")).alias("_s"))
+    out = digests.join(small(starts), ["bucket", "file"]).join(names, "rn")
     return out.select("doc_id", (F.col("_s") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

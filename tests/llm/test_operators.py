@@ -230,6 +230,37 @@ def test_fingerprint(docs):
     assert got[1].fingerprint == got[4].fingerprint
 
 
+def test_fingerprint_bins_by_hand():
+    """Every bin recomputed with whole numbers: least hash, or a donor's by (bin, attempt)."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & top
+        return x ^ (x >> 32)
+
+    r = random.Random(5)
+    for size in (0, 1, 3, 40, 700):
+        features = sorted({r.getrandbits(64) for _ in range(size)})
+        bins, held = 64, {}
+        for f in features:
+            h = mix(f)
+            held[(h >> 32) % bins] = min(h, held.get((h >> 32) % bins, top))
+        want = []
+        for i in range(bins):
+            at, attempt = i, 0
+            while held and at not in held:
+                attempt += 1
+                at = mix((i * 0x9E3779B97F4A7C15 + attempt) & top) % bins
+            want.append(held[at] if held else 0)
+        got = fingerprint.one_permutation(np.array(features, np.uint64), bins)
+        assert got.tolist() == want
+        for bits in (3, 8):
+            low = "".join(f"{mix(x) & ((1 << bits) - 1):0{bits}b}" for x in want)
+            raw = fingerprint.pack(got, not features, bits)
+            assert raw == bytes([bool(features)]) + bytes(int(low[i : i + 8], 2) for i in range(0, len(low), 8))
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
@@ -279,6 +310,34 @@ def test_language_id(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_language_id_is_the_cosine_of_explicit_vectors():
+    r = np.random.default_rng(2)
+    words = {lang: ["".join(r.choice(list(letters), int(r.integers(2, 8)))) for _ in range(60)] for lang, letters in (("x", "abcdefé"), ("y", "defghij"), ("z", "opqrsабв"))}
+    text = lambda lang, n: " ".join(r.choice(words[lang], n))
+    a, b, c = langid.letters(0, langid.DIMENSIONS)
+
+    def vector(text, weigh):
+        grams, counts = langid.gram_counts(text)
+        n = langid.SYMBOLS
+        return sum(w * a[g // n**2] * b[g // n % n] * c[g % n] for g, w in zip(grams.tolist(), weigh(counts), strict=True))
+
+    def unit(v):
+        return v / np.linalg.norm(v)
+
+    root = lambda counts: np.sqrt(counts) / np.sqrt(counts.sum())
+    sums = np.array([sum(vector(text(lang, 80), root) for _ in range(5)) for lang in words])
+    profiles = langid.Profiles(list(words), sums, 0, langid.DIMENSIONS)
+    center = np.mean([unit(s) for s in sums], axis=0)
+    for lang in words:
+        for n in (1, 12, 150):
+            t = text(lang, n)
+            cosines = [unit(vector(t, np.sqrt)) @ unit(unit(s) - center) for s in sums]
+            got, score = profiles.predict(t)
+            assert got == list(words)[int(np.argmax(cosines))]
+            # The norm is that of vectors without chance overlap.
+            assert abs(score - (0.5 + 0.5 * max(cosines))) < 0.04
+
+
 def test_language_id_und(docs):
     got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
     assert all(got[r[0]] == "und" for r in ROWS if not any(c.isalpha() for c in r[1] or ""))
@@ -345,6 +404,39 @@ def test_plan_keeps_every_constraint():
             assert n and sum(inside) <= 100 and len(inside) <= 3 and sum(x * x for x in inside) <= 9000
 
 
+def one_by_one(lengths, capacity, max_docs, max_cost, rule):
+    """Vector best-fit, a piece at a time; of bins that tie, the first."""
+    scale, w = (capacity, max_docs, max_cost), packing.WEIGHTS
+    bins, left = [], []
+    for length in sorted(lengths, reverse=True):
+        item, best = (length, 1, length * length), None
+        for i, room in enumerate(left):
+            if all(r >= x for r, x in zip(room, item, strict=True)):
+                after = [(r - x) / s for r, x, s in zip(room, item, scale, strict=True)]
+                score = -sum(a * a * c for a, c in zip(after, w, strict=True)) if rule == "norm" else sum(r / s * c * x / s for r, s, c, x in zip(room, scale, w, item, strict=True))
+                if best is None or score > best[0] + 1e-12:
+                    best = score, i
+        if best is None:
+            bins.append([])
+            left.append(scale)
+            best = 0, len(bins) - 1
+        bins[best[1]].append(length)
+        left[best[1]] = tuple(r - x for r, x in zip(left[best[1]], item, strict=True))
+    return sorted(map(tuple, bins))
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_is_best_fit_one_by_one(rule):
+    r = np.random.default_rng(4)
+    for trial in range(12):
+        capacity = int(r.integers(40, 200))
+        lengths = r.integers(1, capacity + 1, int(r.integers(1, 160)))
+        for max_docs, max_cost in ((capacity, capacity**2), (4, capacity**2 * 2 // 3 + capacity)):
+            some = [int(x) for x in (lengths if trial % 2 else np.maximum(1, lengths**2 // capacity)) if x * x <= max_cost]
+            got = packing.plan(np.bincount(some, minlength=capacity + 1), capacity, max_docs, max_cost, rule)
+            assert sorted(tuple(c) for n, c in got for _ in range(n)) == one_by_one(some, capacity, max_docs, max_cost, rule)
+
+
 def test_plan_weighs_every_dimension():
     counts = np.bincount(np.random.default_rng(1).integers(1, 60, 400), minlength=101)
     own, tokens = packing.plan(counts, 100, 100, 10000), packing.plan(counts, 100, 100, 10000, weights=(1.0, 0.0, 0.0))
@@ -396,6 +488,41 @@ EVERY = [
 ]
 
 
+CLASHES = ("_t", "_n", "_w", "_p", "_k", "_size", "_i", "_rn", "_x", "_r", "_qscope_n", "_qscope_c", "row", "size", "taken", "nth", "words", "new", "k", "rep", "h", "c", "ranges", "found", "component", "part", "block", "sig", "score", "target", "piece", "length")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(*r[:5], *range(len(CLASHES))) for r in ROWS[:12]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)).cache()
+
+
+@pytest.mark.parametrize("i", range(10))
+def test_columns_of_any_names(spark, clashing, i):
+    plain = EVERY[i](spark, clashing.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert sorted(map(str, EVERY[i](spark, clashing).collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_keep_columns_of_any_names(spark, clashing, stage):
+    for rows in (clashing, clashing.unionAll(clashing.limit(3))):
+        out = stage[1](spark, rows, "")
+        assert out.columns == clashing.columns
+        assert all(list(r[5:]) == list(range(len(CLASHES))) for r in out.collect())
+
+
+def test_mix_documents_pairs_repeated_rows(spark):
+    rows = [(1, "a b c d", "s", 1), (1, "e f g h", "s", 2), (None, "i j k l", "s", 3), (None, "i j k l", "s", 4), (5, "m n o p q", "t", 5), (1, "r s t u", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, x int")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.taken
+    got = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert got == want
+
+
 @pytest.mark.parametrize("i", range(10))
 def test_empty_and_repeated(spark, empty, repeated, i):
     assert EVERY[i](spark, empty).count() == 0
