@@ -4,11 +4,12 @@ Arrow string buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into 64-bit arrays at once; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: Rows that go to a Python worker at once, where a step is written to a scratch table.
+BATCH_ROWS = 2048
 #: Largest table, in rows of at most 16 bytes, that is broadcast after its size was counted.
 BROADCAST_ROWS = 1 << 20
 
@@ -56,10 +59,16 @@ class Scratch:
         self._n = 0
         ship(spark)
 
-    def table(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, codec: str = "zstd", rows: int = BATCH_ROWS) -> DataFrame:
+        """df, written. rows: how many go to a Python worker at once, at most."""
         self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.option("compression", codec).parquet(path)
+        path, limit = f"{self.root}/{self._n}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(limit)
+        self.spark.conf.set(limit, min(rows, int(before)) if int(before) > 0 else rows)
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(limit, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         free(self.spark)
@@ -74,6 +83,28 @@ class Scratch:
         free(self.spark)
 
 
+def lean(run: Callable) -> Callable:
+    """A worker's function over batches that gives its memory back to the system when it
+    ends, as idle workers stay."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now."""
     gc.collect()

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import BROADCAST_ROWS, Scratch, as_long, copies_of, keyed, mix, number_rows, only, packed, shingle_sets, shingle_slices, stream, unpacked
+from qscope.llm.common import BROADCAST_ROWS, Scratch, as_long, copies_of, give_back, keyed, lean, mix, number_rows, only, packed, shingle_sets, shingle_slices, stream, unpacked
 from qscope.llm.components import components
 
 WORDS = 5
@@ -52,7 +52,7 @@ ENUMERATED, SMALL_PARTS = 24, 64
 SINGLE = 63
 SALTS = stream(21, 64)
 #: Signatures sent at once, and in a range.
-SENT, RANGE = 1 << 20, 1 << 18
+SENT, RANGE = 1 << 19, 1 << 18
 #: Documents in which frequent signatures are looked for: LOOKED_AT to twice as many, or one
 #: in LEAST_SHARE where that is more; and how many of all documents make one frequent. So the
 #: driver holds at most one of 512 of the sample's signatures.
@@ -61,8 +61,8 @@ LAST = 1 << 60
 #: Sets in a block, and about how many features they have; patterns that are compared at
 #: once; the most owners of a pattern whose pairs are listed, and pairs listed at once.
 BLOCK, FEATURES, COLUMNS, LISTED, PAIRS = 1024, 1 << 19, 4096, 6, 1 << 19
-#: Pairs with one hub in a task's group.
-HUB_PAIRS = 1024
+#: Pairs with one hub in a task's group, and pairs of sets that go to a worker at once.
+HUB_PAIRS, PAIR_ROWS = 1024, 256
 
 
 def bands(n: int) -> list[int]:
@@ -181,7 +181,7 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent(docs: DataFrame, n: int, hot_sets: int = HOT_SETS) -> tuple[np.ndarray, int]:
     """(sorted signatures that are frequent, about how many signatures docs(k, text) has)."""
     every = max(1, min(LEAST_SHARE, n // LOOKED_AT))
-    seen = docs.where(F.expr(f"pmod(xxhash64(k), {every}) = 0")).select("text").mapInArrow(_look, "sig long, c long")
+    seen = docs.where(F.expr(f"pmod(xxhash64(k), {every}) = 0")).select("text").mapInArrow(lean(_look), "sig long, c long")
     summed = seen.groupBy("sig").agg(F.sum("c").alias("c"))
     found = summed.agg(F.sum("c"), F.collect_list(F.when(F.col("c") >= max(2, hot_sets // every), F.col("sig")))).first()
     return np.sort(np.array(found[1], np.int64).view(np.uint64)), (found[0] or 0) * every
@@ -292,7 +292,7 @@ def candidates(docs: DataFrame, scratch: Scratch, hot_sets: int = HOT_SETS) -> t
     hot, total = frequent(docs, docs.count(), hot_sets)
     ranges = max(1, -(-total // RANGE))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    sent = docs.select("k", "text").mapInArrow(_send(shared, ranges), SENT_COLUMNS)
+    sent = docs.select("k", "text").mapInArrow(lean(_send(shared, ranges)), SENT_COLUMNS)
     counted = scratch.table(sent.groupBy("r").applyInArrow(_count, COUNTED))
     totals = counted.where("band >= 0 AND sig IS NULL").select("k", "band", "need", "total")
     mine = counted.where("sig IS NOT NULL").select("k", "band", "sig", "f")
@@ -348,14 +348,14 @@ def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets. Pairs with one a are dealt out
     by b, HUB_PAIRS or so in a group."""
     ids = scratch.table(pairs.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))).distinct())
-    sets = scratch.table(only(docs.select("k", "text"), ids, "k", "left_semi").mapInArrow(contents, "k long, s binary"), "none")
+    sets = scratch.table(only(docs.select("k", "text"), ids, "k", "left_semi").mapInArrow(lean(contents), "k long, s binary"), "none")
     groups = pairs.groupBy("a").agg((F.expr(f"count(*) div {HUB_PAIRS}") + 1).alias("groups"))
     left = groups.join(sets, F.col("a") == F.col("k")).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "groups", F.col("s").alias("x"))
     right = pairs.join(sets, F.col("b") == F.col("k")).select("a", "b", F.col("s").alias("y"))
     numbers = groups.withColumnRenamed("a", "_a")
     numbers = F.broadcast(numbers.where("groups > 1")) if groups.where("groups > 1").count() <= BROADCAST_ROWS else numbers.where("groups > 1")
     right = right.join(numbers, F.col("a") == F.col("_a"), "left").withColumn("g", F.expr("coalesce(pmod(xxhash64(b), groups), 0)")).drop("_a", "groups")
-    out = scratch.table(right.join(left.drop("groups"), ["a", "g"]).select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"))
+    out = scratch.table(right.join(left.drop("groups"), ["a", "g"]).select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long"), rows=PAIR_ROWS)
     scratch.drop(ids, sets)
     return out
 
@@ -420,6 +420,8 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         ok &= k[left][:, None] < k[right][None]
     x, y = np.nonzero(ok)
     x, y = k[left][x], k[right][y]
+    del ok
+    give_back()
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
@@ -441,7 +443,7 @@ def compare_blocks(open_: DataFrame, docs: DataFrame, scratch: Scratch, compare=
     of which those meet that share a bucket, each two once. Sets of like size and neighbours
     in a bucket are numbered together, so few blocks do. A block's sets are of one class of
     sizes, a power of four; classes that differ by more than one can't link."""
-    sizes = scratch.table(only(docs.select("k", "text"), open_.select("k").distinct(), "k", "left_semi").mapInArrow(contents, "k long, s binary"), "none")
+    sizes = scratch.table(only(docs.select("k", "text"), open_.select("k").distinct(), "k", "left_semi").mapInArrow(lean(contents), "k long, s binary"), "none")
     hub = open_.groupBy("sig").agg(F.min("k").alias("hub"))
     mine = open_.join(hub, "sig").groupBy("k").agg(F.min("hub").alias("hub"), F.min("comp").alias("comp"))
     sized = mine.join(sizes.select("k", F.expr("cast(floor(log2(greatest(length(s) div 8, 1)) / 2) as int)").alias("class")), "k")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import SLICE_BYTES, Poly, Scratch, as_long, copies_of, keyed, mix, only, packed, text_bytes, unpacked
+from qscope.llm.common import SLICE_BYTES, Poly, Scratch, as_long, copies_of, keyed, lean, mix, only, packed, text_bytes, unpacked
 from qscope.llm.suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM, LONG = 100, 32, 96
@@ -115,7 +115,7 @@ def frequent(docs: DataFrame, n: int, hot_runs: int = HOT_RUNS) -> tuple[np.ndar
     """(sorted hashes that are frequent, about how many runs docs(k, text) has)."""
     every = max(1, min(LEAST_SHARE, n // LOOKED_AT))
     least = max(2, hot_runs // every)
-    seen = docs.where(F.expr(f"pmod(xxhash64(k), {every}) = 0")).select("text").mapInArrow(_look, "key long, c long")
+    seen = docs.where(F.expr(f"pmod(xxhash64(k), {every}) = 0")).select("text").mapInArrow(lean(_look), "key long, c long")
     found = seen.groupBy("key").agg(F.sum("c").alias("c")).agg(F.sum("c"), F.collect_list(F.when(F.col("c") >= least, F.col("key")))).first()
     return np.sort(np.array(found[1], np.int64).view(np.uint64)), (found[0] or 0) * every
 
@@ -334,11 +334,11 @@ def cuts(d: DataFrame, scratch: Scratch, hot_runs: int = HOT_RUNS) -> DataFrame:
     hot, total = frequent(texts, texts.count(), hot_runs)
     ranges = max(1, -(-total // RANGE))
     shared = d.sparkSession.sparkContext.broadcast(hot)
-    sent = texts.mapInArrow(_send(shared, ranges), SENT_COLUMNS)
+    sent = texts.mapInArrow(lean(_send(shared, ranges)), SENT_COLUMNS)
     found = scratch.table(sent.groupBy("r").applyInArrow(_found, FOUND))
     lists = found.where(F.col("kind") != CUT).groupBy("k").agg(F.collect_list(F.struct("key", "at", "kind")).alias("runs"))
-    pieces = texts.join(lists.hint("shuffle_hash"), "k").select("k", "text", "runs").mapInArrow(_pieces, PIECES)
-    out = scratch.table(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, CUTS))
+    pieces = texts.join(lists.hint("shuffle_hash"), "k").select("k", "text", "runs").mapInArrow(lean(_pieces), PIECES)
+    out = scratch.table(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shards), CUTS))
     start = F.shiftright("at", 24)
     cut = found.where(F.col("kind") == CUT).select("k", start.alias("s"), (start + F.col("at").bitwiseAND(F.lit((1 << 23) - 1)) + SPAN - 1).alias("e"))
     # An equal document that comes later goes as a whole, if it is long enough to hold a string.
