@@ -140,6 +140,44 @@ class Profile:
         return self.counted.orderBy(F.desc("nanos")).limit(self.top).drop("__t0", "__t1", "__pos")
 
 
+@dataclass(frozen=True)
+class OperatorCost:
+    """A physical operator and what it reported: rows, sizes and times by name."""
+
+    depth: int
+    operator: str
+    metrics: dict[str, int]
+
+
+def operator_costs(df: DataFrame) -> list[OperatorCost]:
+    """The query is run once, without keeping its rows; each operator of the plan that ran,
+    outermost first, with its own metrics."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    out: list[OperatorCost] = []
+
+    def visit(node, depth: int) -> None:
+        name = node.nodeName()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan(), depth)
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return visit(node.plan(), depth)
+        if not node.getClass().getSimpleName() in ("WholeStageCodegenExec", "InputAdapter"):
+            found, each = {}, node.metrics().iterator()
+            while each.hasNext():
+                pair = each.next()
+                found[pair._1()] = int(pair._2().value())
+            out.append(OperatorCost(depth, name, found))
+            depth += 1
+        kids = node.children()
+        for i in range(kids.size()):
+            visit(kids.apply(i), depth)
+        return None
+
+    visit(run.executedPlan(), 0)
+    return out
+
+
 def blame(lineage: Lineage, where: str, costs: DataFrame, source: int | str = 0, top: int = 10) -> DataFrame:
     """Source rows behind chosen output rows by their profiled cost. costs carries the rid of
     the source's rows, as the profile of `lineage.source(source).rows` does."""

@@ -12,6 +12,8 @@ from qscope.functions import udf_reader
 from qscope.operators import debug, influence, isolation, oracles, pathtests, recall, rerun, spectrum, steps
 from qscope.operators.incremental import Incremental
 from qscope.operators.lineage import Lineage
+from qscope.operators.records import Records
+from qscope.session import Session
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,6 +502,46 @@ def _(spark):
     return spark.createDataFrame([(side, pathtests.verify(spark, q, seeds, c, known)) for c, side in sides], "path string, verdict string")
 
 
+# ---------------------------------------------------------------- records
+
+
+def _words(spark):
+    lines = Records(spark.table("documents").select(F.col("text").alias("value")))
+    return lines.flat_map(lambda v: F.split(v, " ")).filter(lambda v: v != "").map_pairs(lambda v: v, lambda v: F.lit(1))
+
+
+@register("records_reduce_by_key", "SELECT w AS key, CAST(count(*) AS BIGINT) AS value FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) t WHERE w <> '' GROUP BY w")
+def _(spark):
+    return _words(spark).reduce_by_key("sum").df
+
+
+@register("records_join", "SELECT c_custkey AS key, c_name AS left_value, o_orderkey AS right_value FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def _(spark):
+    names = Records(spark.table("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")))
+    orders = Records(spark.table("orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value")))
+    return names.join(orders, "left").df.select("key", F.col("value.left").alias("left_value"), F.col("value.right").alias("right_value"))
+
+
+@register("records_cogroup", "SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) b ON a.k = b.k")
+def _(spark):
+    orders = Records(spark.table("orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value")))
+    events = Records(spark.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value")))
+    return orders.cogroup(events).df.select("key", F.size("value.left").cast("long").alias("n_left"), F.size("value.right").cast("long").alias("n_right"))
+
+
+@register("records_lineage", "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
+def _(spark):
+    return _words(spark).reduce_by_key("sum").lineage().backward("key = 'the'").select("doc_id")
+
+
+@register("revisions_changed", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 450000 AND o_totalprice <= 460000")
+def _(spark):
+    s = Session(spark)
+    for least in (450000, 460000):
+        s.revise(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > {least}")
+    return s.changed(1, 2)[0]
+
+
 # ---------------------------------------------------------------- subject programs on the test data
 
 same("subject_commute_type", "SELECT CASE WHEN o_totalprice / 1000 > 300 THEN 'car' WHEN o_totalprice / 1000 > 100 THEN 'public' ELSE 'onfoot' END AS type, round(avg(o_totalprice), 2) AS a FROM orders GROUP BY 1")

@@ -1,12 +1,16 @@
 """Small exact cases of the engine's operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from qscope.functions import distributions, udf_reader
 from qscope.operators import debug, influence, pathtests, rerun, spectrum
+from qscope.operators.incremental import Incremental
 from qscope.operators.isolation import ddmin, isolate
 from qscope.operators.lineage import Lineage
+from qscope.operators.records import Records
 from qscope.plans.adapter import UnsupportedOperator
+from qscope.session import Session, Settings
 
 
 @pytest.fixture
@@ -136,6 +140,76 @@ def test_localize_narrowed(spark, sales):
     assert (wide.failing, narrow.failing) == (1, 1) and narrow.branch and narrow.score == 1.0
 
 
+def test_stored_sub_plans_know_their_files(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    for path, n in ((one, 3), (two, 5)):
+        spark.range(n).write.parquet(path)
+    inc, q = Incremental(spark), "SELECT count(*) AS n FROM (SELECT id FROM parquet.`{}` WHERE id >= 0) t"
+    try:
+        assert inc.run(q.format(one)).df.first().n == 3
+        assert inc.run(q.format(one)).reused
+        other = inc.run(q.format(two))
+        assert other.df.first().n == 5 and not other.reused
+        spark.range(7).write.mode("overwrite").parquet(one)
+        again = inc.run(q.format(one))
+        assert again.df.first().n == 7 and not again.reused
+    finally:
+        inc.clear()
+
+
+def test_records_and_their_lineage(spark):
+    lines = Records.of(spark, ["a b a", "b c", "a"], "string")
+    words = lines.flat_map(lambda v: F.split(v, " ")).map_pairs(lambda v: v, lambda v: F.lit(1))
+    counts = words.reduce_by_key("sum")
+    assert sorted(counts.collect()) == [("a", 3), ("b", 2), ("c", 1)]
+    assert sorted(words.reduce_by_key(lambda x, y: x + y).collect()) == sorted(counts.collect())
+    behind = counts.lineage().backward("key = 'b'")
+    assert sorted(r.value for r in behind.collect()) == ["a b a", "b c"]
+    names = Records.of(spark, [("a", "x"), ("d", "y")], "key string, value string")
+    assert sorted(counts.join(names).collect()) == [("a", (3, "x"))]
+    assert sorted(k for k, _ in counts.join(names, "full").collect()) == ["a", "b", "c", "d"]
+    assert dict(counts.cogroup(names).collect())["d"] == ([], ["y"])
+    assert [r.value for r in counts.join(names).lineage().backward("key = 'a'", 1).collect()] == ["x"]
+    assert sorted(words.keys().distinct().collect()) == ["a", "b", "c"]
+    assert words.count_by_key().sort_by_key(False).take(1) == [("c", 1)]
+    assert sorted(words.values().map(lambda v: v + 1).union(words.values()).filter(lambda v: v > 1).collect()) == [2] * 6
+    assert sorted(names.map_values(F.upper).top_by_key(1).collect()) == [("a", "X"), ("d", "Y")]
+    with pytest.raises(ValueError, match="key_by"):
+        lines.reduce_by_key("sum")
+
+
+def test_records_of_files(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    Records.of(spark, [("k", 1), ("m", 2)], "key string, value int").save_text(path)
+    back = Records.text(spark, path)
+    assert sorted(back.collect()) == ["k\t1", "m\t2"]
+    kept = back.key_by(lambda v: F.substring(v, 1, 1)).count_by_key()
+    assert [r.value for r in kept.lineage().backward("key = 'm'").collect()] == ["m\t2"]
+
+
+def test_session(spark, sales):
+    s = Session(spark, Settings(capacity=2))
+    q = "SELECT k, sum(v) AS t FROM sales WHERE v > 0 GROUP BY k"
+    assert s.sources(q) == ["sales"] and [x.operator for x in s.steps(q)][-1] == "Aggregate"
+    watch = s.watch(q, "v > 4", step=1)
+    assert watch.hits == 3 and watch.truncated and watch.captured.count() == 2
+    assert s.breakpoint(q, 0).count() == 5 and s.recall(q) == (3, 3)
+    costs = s.costs(q)
+    assert any("Aggregate" in c.operator for c in costs) and any(c.metrics.get("numOutputRows") == 3 for c in costs)
+    assert s.influence(q, "t > 0", top=1).count() == 1
+    s.udf("sized_again", sized, "string")
+    case = next(c for c in s.tests("SELECT k FROM sales WHERE sized_again(v) = 'big'", {"sales": sales}) if c.rows and c.mask[0])
+    assert s.verify("SELECT k FROM sales WHERE sized_again(v) = 'big'", {"sales": sales}, case) in ("verified", "path not reached")
+    s.revise(q)
+    s.revise(q.replace("> 0", "> 4"))
+    assert [v.number for v in s.between(1, 2)] == [1, 2]
+    gone, come = s.changed(1, 2)
+    assert [r.k for r in gone.collect()] == ["a"] and [(r.k, r.t) for r in come.collect()] == [("a", 5)]
+    with pytest.raises(ValueError, match="there are 2"):
+        s.between(1, 3)
+    s.close()
+
+
 def test_ddmin_pair():
     assert ddmin(list(range(20)), lambda s: 3 in s and 17 in s) == [3, 17]
 
