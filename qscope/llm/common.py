@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into 64-bit arrays at once; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
-#: Rows that go to a Python worker at once, where a step is written to a scratch table.
-BATCH_ROWS = 2048
+#: Rows that go to a Python worker at once, unless the session sets a number of its own:
+#: texts are long, and batches are held on both sides.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 #: Largest table, in rows of at most 16 bytes, that is broadcast after its size was counted.
 BROADCAST_ROWS = 1 << 20
 
@@ -31,7 +32,10 @@ BROADCAST_ROWS = 1 << 20
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it. On
-    a cluster the package is installed or given with --py-files."""
+    a cluster the package is installed or given with --py-files. Batches to workers are cut
+    to BATCH_ROWS where the session has Spark's default."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     found = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in found.split(os.pathsep):
@@ -59,16 +63,16 @@ class Scratch:
         self._n = 0
         ship(spark)
 
-    def table(self, df: DataFrame, codec: str = "zstd", rows: int = BATCH_ROWS) -> DataFrame:
-        """df, written. rows: how many go to a Python worker at once, at most."""
+    def table(self, df: DataFrame, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+        """df, written. rows: how many go to a Python worker at once in this step."""
         self._n += 1
-        path, limit = f"{self.root}/{self._n}", "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(limit)
-        self.spark.conf.set(limit, min(rows, int(before)) if int(before) > 0 else rows)
+        path, before = f"{self.root}/{self._n}", self.spark.conf.get(ARROW_ROWS)
         try:
+            if rows:
+                self.spark.conf.set(ARROW_ROWS, rows)
             df.write.option("compression", codec).parquet(path)
         finally:
-            self.spark.conf.set(limit, before)
+            self.spark.conf.set(ARROW_ROWS, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         free(self.spark)

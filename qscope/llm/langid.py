@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qscope.llm.common import mix, stream
+from qscope.llm.common import lean, mix, stream
 
 SYMBOLS, GRAM = 64, 3
 DIMENSIONS = 2048
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 0, dime
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out]), pa.array([v for _, v in out], pa.binary())], names=["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(count, "lang string, v binary").collect():
+    for r in picked.mapInArrow(lean(count), "lang string, v binary").collect():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.v, np.float64)
     langs = sorted(total)
     return Profiles(langs, np.array([total[k] for k in langs]).reshape(len(langs), dimensions), seed, dimensions)
