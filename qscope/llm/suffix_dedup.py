@@ -31,7 +31,7 @@ from qscope.llm.suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM, LONG = 100, 32, 96
 #: Bytes of distinct runs from which a shard's array is built; a hash's runs stay together.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Runs sent at once, and in a range of hashes.
 SENT, RANGE = 1 << 19, 1 << 17
 #: Documents in which frequent hashes are looked for: LOOKED_AT to twice as many, or one in
