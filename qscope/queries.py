@@ -552,3 +552,17 @@ same("subject_income", "SELECT CASE WHEN c_acctbal < 0 THEN 'a' WHEN c_acctbal <
 same("subject_find_salary", "SELECT CAST(sum(CASE WHEN substring(o_orderpriority, 1, 1) = '$' THEN CAST(substring(o_orderpriority, 2, 1) AS INT) ELSE CAST(substring(o_orderpriority, 1, 1) AS INT) END) AS BIGINT) AS s FROM orders WHERE o_totalprice > 1000")
 same("subject_word_count", "SELECT w AS word, count(*) AS n FROM (SELECT explode(split(lower(text), ' ')) AS w FROM documents) t WHERE length(w) > 3 GROUP BY w", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents) t WHERE length(w) > 3 GROUP BY w")
 same("subject_weather", "SELECT user_id, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id")
+
+
+def _planted(name: str, table: str, key: str, culprit: int, q: str, wrong: str) -> None:
+    """A subject program with a fault in one row, which isolation must find."""
+
+    @register(f"subject_{name}_isolated", f"SELECT {key} FROM {table} WHERE {key} = {culprit}")
+    def _(spark):
+        found = isolation.isolate(spark, q, table, wrong)
+        return isolation.culprits(spark, found, spark.table(table).schema).select(key)
+
+
+_planted("student_grade", "part", "p_partkey", 23, "SELECT CASE WHEN p_size > 40 THEN 'A' ELSE 'B' END AS grade, max(CASE WHEN p_partkey = 23 THEN 9999 ELSE p_size END) AS top FROM part GROUP BY 1", "top > 100")
+_planted("movie_rating", "part", "p_partkey", 17, "SELECT p_brand, sum(CASE WHEN p_partkey = 17 THEN 100000 ELSE p_size END) AS total FROM part GROUP BY p_brand", "total > 99999")
+_planted("weather", "events", "event_id", 41, "SELECT user_id, max(CASE WHEN event_id = 41 THEN 9999.0 ELSE value END) - min(value) AS spread FROM events WHERE value IS NOT NULL GROUP BY user_id", "spread > 5000")
