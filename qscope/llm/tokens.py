@@ -11,7 +11,7 @@ import regex
 
 #: White-space-delimited pieces, and pre-tokenized words, that a worker remembers: the last
 #: so many, to twice as many.
-CACHE_PIECES, CACHE_WORDS = 400_000, 400_000
+CACHE_PIECES, CACHE_WORDS = 200_000, 200_000
 #: Characters that are cut into pieces at once, where a text has spaces.
 SPAN_CHARS = 1 << 18
 #: Longer pieces and words are encoded but not remembered.
