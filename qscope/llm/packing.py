@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import Scratch, keyed
+from qscope.llm.common import Scratch, keyed, lean
 from qscope.llm.tokens import encoder
 
 #: Weights of the residual tokens, documents and attention cost.
@@ -76,8 +76,9 @@ def cut(path: str, end: int, capacity: int):
                     a, b = edges[i], edges[i + 1]
                     k.append(key), d.append(doc), piece.append(i), start.append(a), length.append(b - a), crc.append(crc32(ids[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["k", "doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.settle()
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import Scratch, keyed, number_rows, partitions, range_part, small
+from qscope.llm.common import Scratch, keyed, lean, number_rows, partitions, range_part, small
 from qscope.llm.tokens import encoder
 
 MAGIC, TAIL = b"QPL1", b"QPLX"
@@ -124,8 +124,9 @@ def _encode(path: str, end: int, bits: bool):
                 state["size"] += len(ids)
         if state.get("parts"):
             yield close()
+        enc.settle()
 
-    return run
+    return lean(run)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

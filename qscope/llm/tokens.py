@@ -123,6 +123,11 @@ class PieceEncoder:
             at = m.start()
         yield text[at:] if at else text
 
+    def settle(self) -> None:
+        """Forget all but the younger words: what an idle worker keeps until its next task."""
+        self.pieces = Remembered(self.pieces.make, {})
+        self.words.older.clear()
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, with the end id."""
         out = []
