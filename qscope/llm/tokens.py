@@ -124,8 +124,8 @@ class PieceEncoder:
         yield text[at:] if at else text
 
     def settle(self) -> None:
-        """Forget all but the younger words: what an idle worker keeps until its next task."""
-        self.pieces = Remembered(self.pieces.make, {})
+        """Forget the older halves: an idle worker keeps the younger ones for its next task."""
+        self.pieces.older.clear()
         self.words.older.clear()
 
     def encode(self, text: str) -> bytes:
