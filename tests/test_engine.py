@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qscope.functions import distributions, udf_reader
-from qscope.operators import debug, influence, pathtests, rerun, spectrum
+from qscope.operators import debug, influence, pathtests, recall, rerun, spectrum
 from qscope.operators.incremental import Incremental
 from qscope.operators.isolation import ddmin, isolate
 from qscope.operators.lineage import Lineage
@@ -231,6 +231,30 @@ def test_recall_of_witnesses(spark, sales):
     assert [tuple(r) for r in again] == [("a", 6)]
 
 
+def test_recall_where_sums_are_rounded(spark, tmp_path):
+    path = str(tmp_path / "paid")
+    spark.range(200_000).selectExpr("id % 5 AS g", "id % 7 AS k", "1e10 + id * 1.1D AS v").repartition(7).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("paid")
+    spark.range(7).selectExpr("id AS j").createOrReplaceTempView("kinds")
+    assert recall.recall(spark, "SELECT g, sum(v) AS t, avg(v) AS a FROM paid JOIN kinds ON k = j GROUP BY g", "g < 4") == (4, 4)
+
+
+def test_rows_lost_among_near_doubles(spark):
+    def frame(*rows):
+        return spark.createDataFrame(list(rows), "k string, x double, y double")
+
+    inf, nan = float("inf"), float("nan")
+    big = 7.5e11
+    assert recall.lost(frame(("a", big, 1.0)), frame(("a", big + 1e-3, 1.0), ("b", big, 1.0))) == 0
+    assert recall.lost(frame(("a", big, 1.0)), frame(("a", big + 1e5, 1.0))) == 1
+    assert recall.lost(frame(("a", big, 1.0)), frame(("a", big, 1.001), ("b", big, 1.0))) == 1
+    assert recall.lost(frame(("a", big, 1.0), ("a", big + 1e-3, 1.0)), frame(("a", big + 2e-3, 1.0))) == 1
+    odd = [(None, None, nan), ("a", inf, None), ("a", -inf, 0.0), ("a", 1e40, -0.0)]
+    assert recall.lost(frame(*odd), frame(*odd)) == 0
+    assert recall.lost(frame(*odd), frame(("a", 5.0, nan), ("a", nan, None), ("a", -1e300, 0.0), (None, 1e40, 0.0))) == 4
+    assert recall.lost(frame(), frame(*odd)) == 0
+
+
 def test_bare_limit_refused_when_strict(spark, sales):
     with pytest.raises(UnsupportedOperator):
         Lineage(spark, "SELECT * FROM sales LIMIT 2")
