@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from qscope.llm import jaccard_join, langid, mixing, packing, suffix_dedup
-from qscope.llm.common import Scratch
+from qscope.llm.common import Scratch, rest
 from qscope.llm.queries import read, tokenizer_file
 
 
@@ -17,21 +17,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id."""
+    rest(spark)
     return jaccard_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that start earlier in what is left are cut out of the texts."""
+    rest(spark)
     return suffix_dedup.remove_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat, or are cut, as their source's target weight asks."""
+    rest(spark)
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' tokens in sequences of 1024."""
+    rest(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 

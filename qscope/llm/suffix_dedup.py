@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qscope.llm.common import SLICE_BYTES, Poly, Scratch, as_long, copies_of, keyed, lean, mix, only, packed, text_bytes, unpacked
+from qscope.llm.common import Poly, Scratch, as_long, copies_of, keyed, lean, mix, only, packed, text_bytes, unpacked
 from qscope.llm.suffix_array import common_prefixes, suffix_array
 
 SPAN, GRAM, LONG = 100, 32, 96
 #: Bytes of distinct runs from which a shard's array is built; a hash's runs stay together.
 SHARD_BYTES = 1 << 20
+#: Window starts that are hashed at once; some twenty 64-bit arrays of that length are held.
+SEGMENT = 1 << 18
 #: Runs sent at once, and in a range of hashes.
 SENT, RANGE = 1 << 19, 1 << 17
 #: Documents in which frequent hashes are looked for: LOOKED_AT to twice as many, or one in
@@ -47,8 +49,8 @@ def _segments(off: np.ndarray, i: int, j: int) -> Iterator[tuple[int, int]]:
     """Byte ranges of window starts, for documents i..j-1, of bounded length."""
     a, end = int(off[i]), int(off[j])
     while a < end:
-        yield a, min(end, a + SLICE_BYTES)
-        a += SLICE_BYTES
+        yield a, min(end, a + SEGMENT)
+        a += SEGMENT
 
 
 def runs(data: np.ndarray, off: np.ndarray, hot: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:

@@ -3,6 +3,7 @@ and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -569,3 +570,15 @@ def test_pieces_are_the_librarys(name, drop_space, monkeypatch):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
     same()
+
+
+def test_runs_take_bounded_memory():
+    words = np.random.default_rng(3).integers(97, 123, 3 << 20, np.uint8)
+    off = np.array([0, 1 << 20, 3 << 20])
+    tracemalloc.start()
+    try:
+        found = sum(len(key) for key, *_ in suffix_dedup.runs(words, off))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found > 1 << 16 and peak < 64 << 20
