@@ -112,14 +112,14 @@ def _encode(path: str, end: int, bits: bool):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["bucket", "file", "first_rn", "documents", "ids", "lengths"])
 
         for batch in batches:
-            for bucket, rn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            texts = enc.encode_all(text.as_py() or "" for text in batch.column(2))
+            for bucket, rn, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 if state.get("parts") and (bucket != state["bucket"] or state["size"] >= 4 * FILE_IDS):
                     yield close()
                 if state.get("bucket") != bucket:
                     state.update(bucket=bucket, file=0, parts=[], size=0)
                 if not state["parts"]:
                     state["first"] = rn
-                ids = enc.encode(text.as_py() or "")
                 state["parts"].append(ids)
                 state["size"] += len(ids)
         if state.get("parts"):

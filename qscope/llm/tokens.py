@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import regex
@@ -14,6 +15,8 @@ import regex
 CACHE_PIECES, CACHE_WORDS = 200_000, 200_000
 #: Characters that are cut into pieces at once, where a text has spaces.
 SPAN_CHARS = 1 << 18
+#: New words that go to the library at once.
+CALL_WORDS = 256
 #: Longer pieces and words are encoded but not remembered.
 CACHE_CHARS = 40
 MARKS = ",.;:!?&$%*#"
@@ -51,7 +54,24 @@ class Remembered(dict):
         if len(self) <= most:
             return self
         self.older.clear()
-        return Remembered(self.make, self)
+        return type(self)(self.make, self)
+
+
+class Noted(Remembered):
+    """The same, but a string that isn't remembered has no ids yet: `asked` notes it, to be
+    made together with others."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__(make, older)
+        self.asked: dict[str, bytes | None] = {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self.older.get(key)
+        if ids is None:
+            self.asked[key] = None
+        else:
+            self[key] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -62,8 +82,9 @@ class PieceEncoder:
     that aren't white space: the pre-tokenizer starts a new match there. So a text is cut at
     those spaces, in parts where it is long, each distinct piece is split into words by the pre-tokenizer's pattern, and
     each distinct word encoded by the library's model. drop_space: the vocabulary drops
-    white space and case; otherwise a piece after the first keeps its leading space. The
-    vocabulary's special strings are ordinary text."""
+    white space and case, and new words of many texts go to the library at once; otherwise a
+    piece after the first keeps its leading space. The vocabulary's special strings are
+    ordinary text."""
 
     def __init__(self, path: str, drop_space: bool, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,7 +96,15 @@ class PieceEncoder:
         self.drop_space, self.end = drop_space, np.array([end], "<u4").tobytes()
         self.letters = byte_letters()
         self.words = Remembered(self._word, {})
-        self.pieces = Remembered(lambda p: self._piece(p, "" if drop_space else " "), {})
+        self.pieces = Noted(lambda p: self._piece(p, ""), {}) if drop_space else Remembered(lambda p: self._piece(p, " "), {})
+        # The model alone: no normalizer, pre-tokenizer or special strings. A word's last id is
+        # of a token with the vocabulary's suffix, if it has one.
+        self.bare, suffix = Tokenizer(self.model), getattr(self.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if drop_space and suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.byte_map = "".join(self.letters[b] for b in range(256))
+        self.beyond_latin = re.compile("[^\x00-\u024f]").search
         self.find = regex.compile(SPACE_DROPPED if drop_space else SPACE_KEPT).findall
         self.other_space = re.compile(r"[^\S \n]").search
         self.gap = re.compile(r"(?<=\S) (?=\S)").search
@@ -106,6 +135,51 @@ class PieceEncoder:
             return np.array(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([known[w] for w in self.find(lead + piece)])
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words of letters, as _word makes them."""
+        out: list[bytes] = []
+        for a in range(0, len(words), CALL_WORDS):
+            some = words[a : a + CALL_WORDS]
+            mapped = [w if w.isascii() else codecs.charmap_decode(w.encode(), "strict", self.byte_map)[0] for w in some]
+            (found,) = self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):  # no suffix, or letters that the vocabulary lacks
+                out.extend(map(self._word, some))
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out.extend([raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)])
+        return out
+
+    def _learn(self) -> dict[str, bytes]:
+        """Ids of the pieces that were asked for and not remembered, which now are. Most are a
+        word of Latin letters, perhaps with marks after it; lower case is all that the
+        normalizer makes of such letters."""
+        known, asked = self.pieces, self.pieces.asked
+        known.asked = {}
+        new, marked, words, marks = [], [], [], []  # flat lists: tuples would keep the collector busy
+        for piece in list(asked):
+            if piece.isascii() or max(piece) < "\u0250":
+                low = piece.lower()
+                word = low.rstrip(MARKS)
+                if word.isalpha():
+                    if word == piece:
+                        new.append(word)
+                        continue
+                    if word not in asked:
+                        asked[word] = known.get(word) or known.older.get(word)
+                        if asked[word] is None:
+                            new.append(word)
+                    marked.append(piece), words.append(word), marks.append(low[len(word) :])
+                    continue
+            asked[piece] = known.make(piece)
+        asked.update(zip(new, self._words(new), strict=True))
+        for piece, word, mark in zip(marked, words, marks, strict=True):
+            asked[piece] = asked[word] + self.words[mark] if mark else asked[word]
+        short = max(map(len, asked), default=0) <= CACHE_CHARS
+        known.update(asked if short else {p: ids for p, ids in asked.items() if len(p) <= CACHE_CHARS})
+        return asked
+
     def _cut(self, text: str) -> list[str]:
         """The text cut at single spaces between characters that aren't white space."""
         if text[:1] == " " or text[-1:] == " " or any(x in text for x in ("  ", " \n", "\n ")) or self.other_space(text):
@@ -128,13 +202,47 @@ class PieceEncoder:
         self.pieces.older.clear()
         self.words.older.clear()
 
+    def _join(self, held: list[list[str] | None], head: list[bytes]) -> Iterator[bytes]:
+        """Ids of the texts whose pieces are held, each closed by a None; `head` has those of
+        the open text's earlier parts."""
+        found = [None if pieces is None else list(map(self.pieces.__getitem__, pieces)) for pieces in held]
+        learnt = self._learn()
+        for pieces, ids in zip(held, found, strict=True):
+            if pieces is None:
+                yield b"".join([*head, self.end])
+                head.clear()
+                continue
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = learnt[pieces[i]]
+            head.append(b"".join(ids))
+        self.pieces, self.words = self.pieces.renewed(CACHE_PIECES), self.words.renewed(CACHE_WORDS)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """encode() of each text; new words of about SPAN_CHARS characters are made together."""
+        if not self.drop_space:
+            yield from map(self.encode, texts)
+            return
+        held, head, size = [], [], 0
+        for text in texts:
+            for part in self._parts(text):
+                part = part.replace("\n", " ")
+                held.append((part if self.beyond_latin(part) else part.lower()).split(" "))
+                size += len(part) + 1
+                if size >= SPAN_CHARS:
+                    yield from self._join(held, head)
+                    held, size = [], 0
+            held.append(None)
+        yield from self._join(held, head)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, with the end id."""
+        if self.drop_space:
+            (ids,) = self.encode_all([text])
+            return ids
         out = []
         for i, part in enumerate(self._parts(text)):
-            if self.drop_space:
-                pieces = part.replace("\n", " ").split(" ")
-            elif i:
+            if i:
                 pieces = self._cut(part[1:])
             else:
                 first, *pieces = self._cut(part)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -572,6 +573,39 @@ def test_pieces_are_the_librarys(name, drop_space, monkeypatch):
     same()
 
 
+def test_texts_together_are_the_librarys(monkeypatch):
+    monkeypatch.setattr(tokens, "SPAN_CHARS", 20)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    monkeypatch.setattr(tokens, "CALL_WORDS", 3)
+    path = tokenizer_file("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), tokens.PieceEncoder(path, True, 2)
+    library.encode_special_tokens = True
+    latin = "".join(map(chr, range(0x250)))
+
+    def same(texts):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts)]
+        assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    letters = " ".join(latin)
+    same([letters, letters.replace(" ", "x "), letters.replace(" ", "!A ")])
+    texts = st.one_of(st.text(max_size=30), st.text(alphabet=latin + " " * 100, max_size=60), st.text(alphabet=" \nabAB,.!'\u00e9\u0130\u0301\u03a3\u1e9e\u212b", max_size=40))
+    settings(max_examples=200, deadline=None)(given(st.lists(texts, max_size=6))(same))()
+
+
+def test_new_words_go_to_the_library_together(monkeypatch):
+    single, one = [], tokens.PieceEncoder._word
+    monkeypatch.setattr(tokens.PieceEncoder, "_word", lambda self, word: (single.append(word), one(self, word))[1])
+    monkeypatch.setattr(tokens, "_encoders", {})
+    rng, path = np.random.default_rng(5), tokenizer_file("word_bpe_49k.json")
+    texts = [" ".join("".join(rng.choice(list("aeinrst\u00e9\u00df"), 9)) + "," for _ in range(50)) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 10, pa.int32()), pa.array(range(10), pa.int64()), pa.array(texts)], names=["bucket", "k", "text"])
+    (file,) = token_io._encode(path, 2, False)(iter([batch]))
+    t = Tokenizer.from_file(path)
+    assert token_io.read_ids(file["ids"][0].as_py()).tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
+    assert single == [","]
+
+
 def test_runs_take_bounded_memory():
     words = np.random.default_rng(3).integers(97, 123, 3 << 20, np.uint8)
     off = np.array([0, 1 << 20, 3 << 20])
