@@ -68,8 +68,8 @@ def cut(path: str, end: int, capacity: int):
         enc = encoder(path, False, end)
         for batch in batches:
             k, d, piece, start, length, crc = [], [], [], [], [], []
-            for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = enc.encode(text.as_py() or "")
+            texts = enc.encode_all(text.as_py() or "" for text in batch.column(2))
+            for key, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i in range(len(edges) - 1):

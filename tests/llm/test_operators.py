@@ -13,6 +13,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 import corpus_pipeline
 from qscope.llm import common, fingerprint, jaccard_join, langid, lm_score, media, mixing, packing, sharding, suffix_dedup, token_io, tokens
@@ -606,6 +608,48 @@ def test_new_words_go_to_the_library_together(monkeypatch):
     assert single == [","]
 
 
+def test_texts_together_keep_their_spaces(monkeypatch):
+    for name, n in (("SPAN_CHARS", 20), ("CACHE_WORDS", 40), ("CACHE_PIECES", 40), ("CALL_WORDS", 3)):
+        monkeypatch.setattr(tokens, name, n)
+    path = tokenizer_file("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), tokens.PieceEncoder(path, False, 2)
+    library.encode_special_tokens = True
+    latin = "".join(map(chr, range(0x250)))
+
+    def same(texts):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts)]
+        assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    letters = " ".join(latin)
+    same([letters, letters.replace(" ", "x "), letters.replace(" ", "!A "), letters.replace(" ", "\nB "), "\nA\nb c\n", "\n\nA b\n\n\nc", "a" * 50 + "\n" + "b" * 50 + "\n", ""])
+    texts = st.one_of(st.text(max_size=30), st.text(alphabet=latin + " \n" * 50, max_size=60), st.text(alphabet=" \nabAB,.!'\u00e01\u0130\u0301\u03a3\u00a0\u65e5", max_size=40), st.lists(st.sampled_from(["a", "\u00e9t\u00e9", "No,", "it's", "1,2.", "!?", "\n", "\nThe"]), max_size=20).map(" ".join).map(lambda t: t.replace(" \n", "\n")))
+    settings(max_examples=300, deadline=None)(given(st.lists(texts, max_size=6))(same))()
+
+
+def test_new_words_with_spaces_go_to_the_library_together(monkeypatch):
+    single, one = [], tokens.PieceEncoder._word
+    monkeypatch.setattr(tokens.PieceEncoder, "_word", lambda self, word: (single.append(word), one(self, word))[1])
+    monkeypatch.setattr(tokens, "_encoders", {})
+    rng, path = np.random.default_rng(6), tokenizer_file("byte_bpe_50k.json")
+    texts = ["".join("".join(rng.choice(list("aeinrst\u00e9\u00df"), 9)) + end for end in [", ", ".\n", " "] * 20) + "End" for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(range(10), pa.int64()), pa.array(texts)], names=["k", "doc_id", "text"])
+    (out,) = packing.cut(path, 2, 1 << 20)(iter([batch]))
+    t = Tokenizer.from_file(path)
+    assert out["ids_crc32"].to_pylist() == [zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for x in texts]
+    assert single == ["\n"]
+
+
+@pytest.mark.parametrize("merge", [("a", "\u0120"), ("\u010a", "b"), ("a", "b"), ("\u0120", "b")])
+def test_words_that_would_merge_together_are_made_apart(merge, tmp_path):
+    vocab = {c: i for i, c in enumerate([*tokens.byte_letters().values(), "".join(merge)])}
+    t = Tokenizer(BPE(vocab, [merge]))
+    t.pre_tokenizer = ByteLevel(add_prefix_space=False)
+    t.save(path := str(tmp_path / "t.json"))
+    own = tokens.PieceEncoder(path, False, 2)
+    for text in ("ba ab ba\nba, b\nb", "a b a\na b"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_runs_take_bounded_memory():
     words = np.random.default_rng(3).integers(97, 123, 3 << 20, np.uint8)
     off = np.array([0, 1 << 20, 3 << 20])
